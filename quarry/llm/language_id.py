@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import chunks, text_batches, text_bytes
 
@@ -173,8 +174,8 @@ def labels_of(words: LetterWords, model: Model, penalty: float = PENALTY) -> np.
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of each row of docs (doc_id, text).
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, whole: bool = False) -> DataFrame:
+    """(doc_id, lang_pred, score, spans) of each row of docs (doc_id, text); with ``whole`` also the row, as a struct.
 
     spans: code points from the first letter of a run of words in one language to the end of its last.
     lang_pred: the language with most letters; score: its share of the letters, counting words in its scripts only.
@@ -205,10 +206,14 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
                 base = words.offsets[row[head]]
                 spans = pa.StructArray.from_arrays([pa.array((words.start[head] - base).astype(np.int32)), pa.array((words.end[tail] - base).astype(np.int32)), pa.array(names[labels[head]] if k else ["und"] * len(head), pa.string())], fields=list(span))
                 offsets = np.append(0, np.cumsum(np.bincount(row[head], minlength=n))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[top], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["doc_id", "lang_pred", "score", "spans"])
+                kept = [part.column("row")] if whole else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names[top], pa.string()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), spans), *kept], ["doc_id", "lang_pred", "score", "spans", "row"][: 4 + whole])
 
     text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    schema = T.StructType.fromDDL(f"doc_id long, lang_pred string, score double, spans {SPANS}")
+    if whole:
+        schema.add("row", docs.schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[F.struct("*").alias("row")] * whole).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

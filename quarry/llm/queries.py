@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join
+from . import decontaminate, language_id, media, mixing, ngram_join, personal_data, repeats, secrets, tool_calls, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,56 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of(F.col("source")))
+    return mixing.mix(docs)
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(_table(spark, sf_dir, "documents"))).drop("clips")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the same id are the outcomes of pages; low quality is bad."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), labels).drop("bad_lower")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal_data.digest(personal_data.scan(docs, personal_data.fit(docs)))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.calls_of(_table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op1_language_id": op1_language_id,
-    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_source_mixing,
+        op3_ngram_jaccard_join,
+        op4_media_columns,
+        op5_url_filters,
+        op6_personal_data,
+        op7_benchmark_decontamination,
+        op8_substring_dedup,
+        op9_chat_formatting,
+        op10_secret_scans,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE}
