@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2_000_000
 
-_M64 = (1 << 64) - 1
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
