@@ -3,7 +3,7 @@
 Reputation. Labelled pages give each host, registered domain (last two labels) and suffix (last label) its numbers of
 pages and of bad ones. The rate of a suffix is drawn from a beta prior around the rate of all, a domain's around
 its suffix's posterior mean, a host's around its domain's. The strength of each prior is fitted by moments: the
-spread of rates beyond what chance gives. A host is blocked if the lower bound of its posterior bad rate,
+spread of rates beyond what chance gives, but a prior isn't stronger than the pages its mean rests on. A host is blocked if the lower bound of its posterior bad rate,
 ``mean - Z * deviation``, is over ``LIMIT``.
 
 Null urls and those without ``://`` have an empty host and path, and are judged as one host. Hosts that were never
@@ -74,11 +74,15 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
         domains.join(suffixes, "suffix").filter("n_domain > 0").agg(_strength(domains, "domain", "suffix")).first()[0],
         marks.join(domains, ["domain", "suffix"]).filter("n_host > 0").agg(_strength(marks, "host", "domain")).first()[0],
     ]
-    post = lambda level, m, prior: (F.lit(m) * prior + F.col(f"k_{level}")) / (F.lit(m) + F.col(f"n_{level}"))
-    suffixes = suffixes.select("suffix", post("suffix", fit[0], F.lit(rate)).alias("mean_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", post("domain", fit[1], F.col("mean_suffix")).alias("mean_domain"))
-    out = marks.join(domains, "domain").withColumn("bad_mean", post("host", fit[2], F.col("mean_domain")))
-    deviation = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.lit(fit[2]) + F.col("n_host") + 1))
+    # a prior isn't surer than what its parent's mean rests on
+    weight = lambda m, known: F.greatest(F.lit(1e-3), F.least(F.lit(float(m)), known))
+    post = lambda level, prior: (F.col(f"w_{level}") * prior + F.col(f"k_{level}")) / (F.col(f"w_{level}") + F.col(f"n_{level}"))
+    suffixes = suffixes.withColumn("w_suffix", weight(fit[0] or WEAKEST, F.lit(float(n_all))))
+    suffixes = suffixes.select("suffix", post("suffix", F.lit(rate)).alias("mean_suffix"), (F.col("w_suffix") + F.col("n_suffix")).alias("known_suffix"))
+    domains = domains.join(suffixes, "suffix").withColumn("w_domain", weight(fit[1] or WEAKEST, F.col("known_suffix")))
+    domains = domains.select("domain", post("domain", F.col("mean_suffix")).alias("mean_domain"), (F.col("w_domain") + F.col("n_domain")).alias("known_domain"))
+    out = marks.join(domains, "domain").withColumn("w_host", weight(fit[2] or WEAKEST, F.col("known_domain"))).withColumn("bad_mean", post("host", F.col("mean_domain")))
+    deviation = F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("w_host") + F.col("n_host") + 1))
     return out.select("host", "bad_mean", (F.col("bad_mean") - Z * deviation).alias("bad_lower"))
 
 
