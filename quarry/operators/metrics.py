@@ -48,3 +48,14 @@ def coverage(turns: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     reached = reached | (F.col("seen") >= F.lit(threshold) * F.col("g"))
     best = F.min(F.when(reached, F.struct("turn", "spent"))).alias("best")
     return rows.groupBy("task").agg(best).select("task", F.col("best.turn").alias("turn"), F.col("best.spent").alias("tokens"))
+
+
+def weighted(rows: DataFrame, measures: list[str], keys: list[str]) -> DataFrame:
+    """Means of the measures for each arm and k, weighted by ``n_queries``; zeros where no query counts."""
+    n = F.sum("n_queries")
+    return rows.groupBy(*keys).agg(n.alias("n_queries"), *[F.when(n > 0, F.sum(F.col(m) * F.col("n_queries")) / n).otherwise(0.0).alias(m) for m in measures])
+
+
+def rank_configs(rows: DataFrame, measure: str, order: str = "ord") -> DataFrame:
+    """Configurations from best to worst by a measure; ties keep the order of the grid. The grid is small."""
+    return rows.orderBy(F.desc(measure), order)

@@ -86,3 +86,20 @@ def pack(ranked: DataFrame, budget: int, text: str = "text") -> DataFrame:
     run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     out = ranked.withColumn("tokens", token_cost(F.col(text)))
     return out.withColumn("running", F.sum("tokens").over(run)).filter(F.col("running") <= budget)
+
+
+def sweep(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, vectors: dict[str, list[float]], k1: float = K1, b: float = B) -> DataFrame:
+    """(config, query_id, row_id, score) of all weight vectors in one pass: a vector adds a sum to the aggregates, not rows to the joins."""
+    n_rows, total = corpus_stats(doc_lengths).first()
+    average = (total / n_rows) if n_rows else 0.0
+    names = list(vectors)
+    weights = {name: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.col("col_id") + 1) for name, ws in vectors.items()}
+    hits = index.join(queries, "term").groupBy("query_id", "pos", "term", "row_id").agg(*[F.sum(weights[n] * F.col("tf")).alias(n) for n in names])
+    frequency = hits.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
+    idf = F.log((F.lit(n_rows) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    scored = hits.join(frequency, ["query_id", "pos"]).join(doc_lengths, "row_id")
+    norm = k1 * (1 - b + b * F.col("doc_len") / average)
+    parts = [(-F.sum(F.greatest(idf, F.lit(1e-6)) * F.col(n) * (k1 + 1) / (F.col(n) + norm))).alias(n) for n in names]
+    scores = scored.groupBy("query_id", "row_id").agg(*parts)
+    each = F.array(*[F.struct(F.lit(n).alias("config"), F.col(n).alias("score")) for n in names])
+    return scores.select("query_id", "row_id", F.explode(each).alias("e")).select("e.config", "query_id", "row_id", "e.score")

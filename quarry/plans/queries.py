@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import query_terms, token_cost, tokens
-from quarry.operators import maintain, metrics, search, segment
+from quarry.functions.hashes import content_hash
+from quarry.operators import formats, maintain, metrics, search, segment
 
 TEXT = "the ingestion of the nd threwh"
 COLUMNS, WEIGHTS = ["symbol_name", "text"], [10.0, 1.0]
@@ -186,11 +187,57 @@ def locator_format(spark, sf_dir):
     return chunks(spark, sf_dir).select(F.format_string("%s:%d-%d", "file_path", F.lit(1), F.size(F.split("text", "\n", -1))).alias("locator"))
 
 
+#: Weights of name and text in a sweep, after the named vectors of the seven-column grid (fixed values).
+GRID = {"default": [10.0, 1.0], "flat": [1.0, 1.0], "name_only": [10.0, 0.0], "body_heavy": [1.0, 10.0], "name_strong": [20.0, 1.0]}
+
+
+def weight_sweep(spark, sf_dir):
+    """The five best rows of every benchmark item under each weight vector."""
+    c = chunks(spark, sf_dir)
+    scores = _rounded(search.sweep(search.postings(c, COLUMNS), search.lengths(c, COLUMNS), _benchmark_terms(spark, sf_dir), GRID))
+    order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
+    return scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("config", "query_id", "row_id", "score", "rank")
+
+
+def _packed(spark, sf_dir):
+    """The best rows of every benchmark item within 4000 tokens, as results, and the queries with what was found."""
+    ranked = _ranked(spark, sf_dir, _benchmark_terms(spark, sf_dir), ["text"], None, 20)
+    c = chunks(spark, sf_dir).withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(F.split("text", "\n", -1)))
+    rows = search.pack(ranked.join(c, "row_id"), 4000).withColumn("score", F.col("score") / 1e6)
+    rows = rows.withColumn("symbol_type", F.lit("function")).withColumn("parent_symbol", F.col("source")).withColumn("language", F.col("lang"))
+    found = ranked.groupBy("query_id").agg(F.count("*").alias("found"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rows, items.join(found, "query_id", "left").fillna(0, ["found"])
+
+
+def text_format(spark, sf_dir):
+    return formats.as_text(*_packed(spark, sf_dir))
+
+
+def json_format(spark, sf_dir):
+    return formats.as_json(*_packed(spark, sf_dir))
+
+
+def locator_lists(spark, sf_dir):
+    return formats.as_locators(*_packed(spark, sf_dir))
+
+
+def outline_budget(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("start_line", F.lit(1)).withColumn("end_line", F.size(F.split("text", "\n", -1)))
+    rows = c.withColumn("symbol_type", F.lit("function")).withColumn("parent_symbol", F.col("lang")).withColumn("symbol_name", F.col("source"))
+    return formats.outline(rows, "/src1", 800)
+
+
+def content_hashes(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return c.select("row_id", content_hash(F.col("text").cast("binary")).alias("hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_stats, doc_freq, corpus_stats, bm25_topk, bm25_weighted, bm25_batch, phrase_match, glob_filter, path_outline, budget_pack, overlap_dedup, change_detect,
-        reconcile_deletes, upsert_merge, status_by_language, ranking_quality, turns_to_coverage, offset_synthesis, line_segments, locator_format,
+        reconcile_deletes, upsert_merge, status_by_language, ranking_quality, turns_to_coverage, offset_synthesis, line_segments, locator_format, weight_sweep, text_format, json_format, locator_lists, outline_budget, content_hashes,
     )
 }
 
@@ -235,3 +282,17 @@ SELECT task, min(CASE WHEN g = 0 OR seen >= 0.5 * g THEN turn END) AS turn, min(
     "line_segments": _LINES + r", s AS (SELECT *, CAST(sum(CASE WHEN regexp_matches(line_text, '^[A-M]') THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY line) AS BIGINT) AS segment FROM lines) SELECT row_id, segment, min(line) AS start_line, max(line) AS end_line, min(start_byte) AS start_byte, max(end_byte) AS end_byte FROM s WHERE segment > 0 GROUP BY row_id, segment",
     "locator_format": CHUNKS + " SELECT concat(file_path, ':1-', CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS VARCHAR)) AS locator FROM chunks",
 }
+
+_PACKED = ORACLES["budget_pack"].replace("r.row_id, rank,", "r.row_id, rank, score, symbol_name, text, file_path, lang, source, end_byte, len(text) - len(replace(text, chr(10), '')) + 1 AS end_line,").replace("SELECT * FROM y WHERE running <= 4000", """, z AS (SELECT * FROM y WHERE running <= 4000),
+fo AS (SELECT query_id, count(*) AS found FROM r WHERE rank <= 20 GROUP BY query_id), qs AS (SELECT item_id AS query_id, text AS query, coalesce(found, 0) AS found FROM benchmark LEFT JOIN fo ON item_id = fo.query_id)""")
+_RULE = formats.RULE
+ORACLES["text_format"] = _PACKED + f""", b AS (SELECT query_id, count(*) AS shown, sum(tokens) AS spent, string_agg(printf('[%d] %s.%s (function) %s:1-%d (score: %.2f)', rank, source, symbol_name, file_path, end_line, score / 1e6) || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS body FROM z GROUP BY query_id)
+SELECT qs.query_id, '{_RULE}' || chr(10) || 'Query: "' || query || '"' || chr(10) || 'Found ' || found || ' results (showing top ' || coalesce(shown, 0) || ', ' || CAST(coalesce(spent, 0) AS BIGINT) || ' tokens)' || chr(10) || '{_RULE}' || chr(10) || chr(10) || coalesce(body, '') || '{_RULE}' || chr(10) AS output FROM qs LEFT JOIN b ON qs.query_id = b.query_id"""
+ORACLES["locator_lists"] = _PACKED + """, b AS (SELECT query_id, string_agg(file_path || ':1-' || end_line || chr(10), '' ORDER BY rank) AS body FROM z GROUP BY query_id)
+SELECT qs.query_id, coalesce(body, '') AS output FROM qs LEFT JOIN b ON qs.query_id = b.query_id"""
+ORACLES["outline_budget"] = CHUNKS + """, o AS (SELECT *, row_number() OVER (ORDER BY file_path) AS n, len(text) - len(replace(text, chr(10), '')) + 1 AS end_line FROM chunks WHERE starts_with(file_path, '/src1/')),
+l AS (SELECT CAST(n + 2 AS INTEGER) AS line_no, printf('[%d] %s.%s (function) %s:1-%d', n, lang, source, file_path, end_line) AS line FROM o
+  UNION ALL SELECT 1, 'Path: "/src1"' UNION ALL SELECT 2, printf('Found %d symbols', (SELECT count(*) FROM o))),
+w AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY line_no) AS bytes FROM l)
+SELECT line_no, line FROM w WHERE line_no <= 2 OR bytes // 4 <= 800"""
+ORACLES["weight_sweep"] = " UNION ALL ".join(f"SELECT '{name}' AS config, * FROM ({_bm25_sql(_MANY, COLUMNS, ws, 5, 'query_id, row_id, score, rank')})" for name, ws in GRID.items())
