@@ -1,7 +1,8 @@
 """Symbols of source files: one row for each function, method, class or struct, with byte and line places.
 
-Python files go through the standard parser. Those it rejects, and TypeScript, fall back to lines at column 0 that begin a
-definition (``is_heuristic``). Go files are read by masking strings and comments and matching braces.
+Python files go through the standard parser. Those it rejects fall back to lines at column 0 that begin a definition
+(``is_heuristic``). Go and TypeScript files are read by masking strings and comments and matching brackets; methods of
+object literals and regular expressions with brackets or quotes aren't understood there.
 A file without text gives no rows.
 """
 
@@ -20,7 +21,7 @@ SCHEMA = (
 )
 _HEADER = re.compile(rb"^(?:async +def|def|class) +([^\W\d]\w*)", re.M)
 _GO_MASK = re.compile(rb"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S)
-_GO_FUNC = re.compile(rb"^func\s+(?:\(\s*(?:\w+\s+)?\*?\s*(\w+)(\[[^\]]*\])?\s*\)\s*)?(\w+)", re.M)
+_GO_FUNC = re.compile(rb"^func\s+(?:\(\s*(?:\w+\s+)?(\*?)\s*(\w+)(\[[^\]]*\])?\s*\)\s*)?(\w+)", re.M)
 _GO_TYPE = re.compile(rb"^type\s*(\()?\s*(\w+)(?:\[[^\]]*\])?\s+struct\b", re.M)
 
 
@@ -104,8 +105,9 @@ def go_symbols(data: bytes) -> list[dict]:
                 at = _closing(text, at)
                 break
             at = _closing(text, at) if c in (b"(", b"[", b"{") else at + 1
-        receiver = m.group(1) if m.group(1) and not m.group(2) else None
-        rows.append(_row(data, m.start(), at, m.group(3).decode(), "method" if m.group(1) else "function", receiver.decode() if receiver else None))
+        star, name, generic, own = m.groups()
+        receiver = None if not name or star and generic else (name + (generic or b"")).decode()
+        rows.append(_row(data, m.start(), at, own.decode(), "method" if name else "function", receiver))
     for m in _GO_TYPE.finditer(text):
         opening = m.start(1) if m.group(1) else text.find(b"{", m.end())
         if opening >= 0:
@@ -113,7 +115,87 @@ def go_symbols(data: bytes) -> list[dict]:
     return sorted(rows, key=lambda r: r["start_byte"])
 
 
-SEGMENTERS = {"python": python_symbols, "go": go_symbols}
+_TS_MASK = re.compile(_GO_MASK.pattern.replace(rb"`[^`]*`", rb"`(?:\\.|[^`\\])*`"), re.S)
+_TS_DEFINITION = re.compile(rb"(?<![\w$.])(?:(?P<abstract>abstract\s+)?class\s+(?P<class>[\w$]+)|(?:async\s+)?function\s*\*?\s*(?P<function>[\w$]+)|(?:const|let|var)\s+(?P<arrow>[\w$]+)(?=\s*[:=]))")
+_TS_MEMBER = re.compile(rb"(?:(?:public|private|protected|static|async|override|get|set)\s+|\*\s*)*(?P<name>[\w$#]+)\s*(?:<[^<>()]*>\s*)?\(")
+_TS_VALUE = re.compile(rb"\s*(?::[^=;]*?(?:=>[^=;]*?)?)?=(?!=)\s*(?:async\s+)?(?:<[^<>()]*>\s*)?(?P<params>\(|[\w$]+\s*=>)")
+
+
+def _body(text: bytes, at: int) -> int:
+    """The place of the ``{`` that opens a body after parameters; -1 where a signature ends without one."""
+    for m in re.compile(rb"[{;(\[}]").finditer(text, at):
+        if m.start() < at:
+            continue
+        if m.group() in b";}":
+            return -1
+        if m.group() == b"{" and not re.search(rb"(?:[:|&<,]|=>)\s*$", text[max(0, m.start() - 200) : m.start()]):
+            return m.start()
+        at = _closing(text, m.start())
+    return -1
+
+
+def _expression_end(text: bytes, at: int) -> int:
+    """The end of an arrow function's body that begins at or after ``at``."""
+    at += len(text[at:]) - len(text[at:].lstrip())
+    if text[at : at + 1] == b"{":
+        return _closing(text, at)
+    while at < len(text) and text[at : at + 1] not in (b";", b"\n", b",", b")", b"}", b"]"):
+        at = _closing(text, at) if text[at : at + 1] in (b"(", b"[", b"{") else at + 1
+    return at
+
+
+def typescript_symbols(data: bytes) -> list[dict]:
+    """Function declarations, arrow functions with a name, classes and their methods; interfaces and types are left out."""
+    text = _TS_MASK.sub(lambda m: re.sub(rb"[^\n]", b" ", m.group()), data)
+    found: list[tuple[int, int, str, str]] = []  # start, end, name, kind
+    for m in _TS_DEFINITION.finditer(text):
+        before = text[max(0, m.start() - 200) : m.start()].rstrip()
+        if m["arrow"]:
+            value = _TS_VALUE.match(text, m.end())
+            if not value:
+                continue
+            at = value.end()
+            if value["params"] == b"(":
+                arrow = re.compile(rb"\s*(?::[^;={}]*)?=>").match(text, _closing(text, at - 1))
+                if not arrow:
+                    continue
+                at = arrow.end()
+            found.append((m.start("arrow"), _expression_end(text, at), m["arrow"].decode(), "function"))
+        elif re.search(rb"(?:[=(,:?\[!&|+]|\b(?:return|new|typeof|await|yield))$", before):
+            continue  # an expression
+        elif m["function"]:
+            opening = text.find(b"(", m.end())
+            body = _body(text, _closing(text, opening)) if opening >= 0 else -1
+            if body >= 0:
+                found.append((m.start(), _closing(text, body), m["function"].decode(), "function"))
+        elif not m["abstract"]:
+            opening = text.find(b"{", m.end())
+            if opening < 0:
+                continue
+            end, at = _closing(text, opening), opening + 1
+            found.append((m.start(), end, m["class"].decode(), "class"))
+            while at < end:
+                member = _TS_MEMBER.match(text, at)
+                if member and not re.match(rb"[\w$#.@=]", text[at - 1 : at]):
+                    after = _closing(text, member.end() - 1)
+                    ahead = re.compile(rb"\s*[{:]").match(text, after)
+                    body = _body(text, after) if ahead else -1
+                    if body >= 0:
+                        after = _closing(text, body)
+                        found.append((at, after, member["name"].decode(), "method"))
+                    at = after
+                else:
+                    at = _closing(text, at) if text[at : at + 1] in (b"{", b"(", b"[") else at + 1
+    found.sort(key=lambda f: (f[0], -f[1]))
+    rows, open_ = [], []
+    for start, end, name, kind in found:
+        open_ = [o for o in open_ if o[0] >= end]
+        rows.append(_row(data, start, end, name, kind, open_[-1][1] if open_ else None))
+        open_.append((end, name))
+    return rows
+
+
+SEGMENTERS = {"python": python_symbols, "go": go_symbols, "typescript": typescript_symbols}
 
 
 def symbols(files: DataFrame) -> DataFrame:

@@ -22,13 +22,15 @@ def merge(stored: DataFrame, news: DataFrame, key: str = "file_path") -> DataFra
     return stored.join(news, key, "left_anti").unionByName(news)
 
 
-def replace_chunks(chunks: DataFrame, news: DataFrame) -> DataFrame:
-    """Chunks with all rows of the files in ``news`` replaced; new rows get larger ids in order of file and place."""
-    from pyspark.sql import Window
-
-    top = chunks.agg(F.max("row_id")).first()[0] or 0
-    per_file = news.groupBy("file_path").agg(F.count("*").alias("k"))
-    base = per_file.withColumn("base", F.coalesce(F.sum("k").over(Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    order = Window.partitionBy("file_path").orderBy("start_byte", "end_byte")
-    fresh = news.join(base.drop("k"), "file_path").withColumn("row_id", F.lit(top) + F.col("base") + F.row_number().over(order)).drop("base")
-    return chunks.join(news.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh.select(chunks.columns))
+def replace_chunks(chunks: DataFrame, news: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Chunks with all rows of the files in ``paths`` (those of ``news`` if not given) replaced.
+
+    New rows get larger ids in order of file and place, with gaps: ranges are sorted each for itself, and no task
+    counts all rows. Write the result once; a second evaluation may cut other ranges.
+    """
+    top = chunks.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("top"))
+    order = ["file_path", "start_byte", "end_byte"]
+    fresh = news.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    fresh = fresh.join(F.broadcast(top)).withColumn("row_id", F.col("top") + 1 + F.col("at"))
+    paths = (news if paths is None else paths).select("file_path").distinct()
+    return chunks.join(paths, "file_path", "left_anti").select(chunks.columns).unionByName(fresh.select(chunks.columns))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from quarry.functions.hashes import content_hash, file_hash
-from quarry.operators import code, formats, metrics, search
+from quarry.operators import code, formats, index, metrics, search
 from quarry.sources import files
 
 PY = b'''"""Doc."""
@@ -40,10 +40,45 @@ func (s *S) Get(k string) (interface{}, error) {
 	return x, nil
 }
 func (g *G[K]) Put() {}
+func (g G[K]) Len() int { return 0 }
 func main() {}
 '''
 
 
+TS = b"""import x from 'y';
+interface I { a(): void }
+type T = { b: number };
+export function one<T>(a: { k: T }): { r: T } {
+  return { r: a.k }; // }
+}
+declare function no(a: string): void;
+export const two = async (a: number): Promise<number> => a + f({ b: 1 });
+const three = (x) => {
+  const inner = y => y;
+};
+const plain = 5, s = "class Z {";
+export class C extends B {
+  field = make(1);
+  private handler: () => void;
+  constructor(private a: string) { super(a); }
+  static async get(k: string): Promise<{ v: string }> {
+    if (k) { go(k) }
+    return { v: `}` };
+  }
+}
+"""
+
+
+def test_typescript_symbols():
+    rows = code.typescript_symbols(TS)
+    assert _names(rows) == [("one", "function", None), ("two", "function", None), ("three", "function", None), ("inner", "function", "three"), ("C", "class", None), ("constructor", "method", "C"), ("get", "method", "C")]
+    text = {r["symbol_name"]: r["chunk_text"] for r in rows}
+    assert text["two"] == "two = async (a: number): Promise<number> => a + f({ b: 1 })" and text["inner"] == "inner = y => y"
+    assert text["one"].startswith("function one") and text["one"].endswith("// }\n}\n") and text["get"].startswith("static async get") and text["get"].endswith("`}` };\n  }\n")
+    assert code.typescript_symbols(b"") == []
+    assert _names(code.typescript_symbols(b"class A { f( {")) == [("A", "class", None)]
+
+
 def _names(rows):
     return [(r["symbol_name"], r["symbol_type"], r["parent_symbol"]) for r in rows]
 
@@ -66,7 +101,7 @@ def test_rejected_python_falls_back_to_lines():
 
 def test_go_symbols():
     rows = code.go_symbols(GO)
-    assert _names(rows) == [("S", "struct", None), ("T", "struct", None), ("Get", "method", "S"), ("Put", "method", None), ("main", "function", None)]
+    assert _names(rows) == [("S", "struct", None), ("T", "struct", None), ("Get", "method", "S"), ("Put", "method", None), ("Len", "method", "G[K]"), ("main", "function", None)]
     assert rows[2]["chunk_text"].endswith("return x, nil\n}\n") and rows[1]["chunk_text"].endswith("U struct {}\n)\n")
 
 
@@ -89,7 +124,27 @@ def test_scan_symbols_and_hashes(spark, tmp_path):
     assert rows["bad.py"].error == "not UTF-8" and rows["bad.py"].text is None and rows["a.py"].error is None
     assert rows["a.py"].hash == xxhash.xxh3_128_hexdigest(PY + (1000).to_bytes(8, "little")) and rows["a.py"].language == "python"
     found = code.symbols(files.scan(spark, str(tmp_path))).groupBy("file_path").count().collect()
-    assert {tuple(r) for r in found} == {("a.py", 4), ("sub/m.go", 5)}
+    assert {tuple(r) for r in found} == {("a.py", 4), ("sub/m.go", 6)}
+
+
+def test_refresh_replaces_changed_and_keeps_failed(spark, tmp_path):
+    for name in ("same", "edit", "gone", "fail"):
+        (tmp_path / f"{name}.py").write_text(f"def {name}(): pass\n")
+    empty_files, empty_chunks = index.empty(spark)
+    first_files, first_chunks, stats = index.refresh(files.scan(spark, str(tmp_path)), empty_files, empty_chunks)
+    assert stats.first().asDict() == {"n_files": 4, "n_chunks": 4, "n_failed": 0}
+    stored = [df.sparkSession.createDataFrame(df.collect(), df.schema) for df in (first_files, first_chunks)]
+    (tmp_path / "edit.py").write_text("def edit(): pass\ndef more(): pass\n")
+    (tmp_path / "gone.py").unlink()
+    (tmp_path / "fail.py").write_bytes(b"\xff")
+    (tmp_path / "new.py").write_text("x = 1\n")
+    now_files, now_chunks, stats = index.refresh(files.scan(spark, str(tmp_path)), *stored)
+    old = {r.symbol_name: r.row_id for r in stored[1].collect()}
+    now = {r.symbol_name: r.row_id for r in now_chunks.collect()}
+    assert now.keys() == {"same", "edit", "more", "fail"} and now["same"] == old["same"] and now["fail"] == old["fail"]
+    assert max(old.values()) < now["edit"] < now["more"]
+    assert {(r.file_path, r.chunk_count) for r in now_files.collect()} == {("same.py", 1), ("edit.py", 2), ("fail.py", 1), ("new.py", 0)}
+    assert stats.first().asDict() == {"n_files": 2, "n_chunks": 2, "n_failed": 1}
 
 
 def test_hashes_of_nulls(spark):
