@@ -34,16 +34,27 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def query_terms(text: str) -> list[str]:
-    """Terms of a query in order, with repeats, without stopwords."""
+def query_words(text: str) -> list[list[str]]:
+    """The words of a query as lists of terms: a word with ``_`` or quotes inside is a phrase of several terms."""
+    import re
+
+    words = [w for w in re.findall(r"[\w\"]+", text.lower()) if w not in STOPWORDS]
+    return [terms for terms in map(_terms, words) if terms]
+
+
+def _terms(word: str) -> list[str]:
     import re
     import unicodedata
 
-    words = re.findall(r"[\w\"]+", text.lower())
-    plain = "".join(c for c in unicodedata.normalize("NFD", " ".join(w for w in words if w not in STOPWORDS)) if unicodedata.category(c) != "Mn")
+    plain = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
     return re.findall(r"[^\W_]+", plain)
 
 
+def query_terms(text: str) -> list[str]:
+    """Terms of a query in order, with repeats, without stopwords."""
+    return [term for word in query_words(text) for term in word]
+
+
 def token_cost(text: Column) -> Column:
     """Estimated tokens of a text: a quarter of its bytes, at least one."""
     return F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")

@@ -66,3 +66,27 @@ def outline(symbols: DataFrame, path: str, max_tokens: int = 2000) -> DataFrame:
     run = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = heads.unionByName(top.select("n", line.alias("line"))).withColumn("bytes", F.sum(F.octet_length("line") + 1).over(run))
     return rows.filter((F.col("n") <= 0) | (F.floor(F.col("bytes") / 4) <= max_tokens)).select((F.col("n") + 2).cast("int").alias("line_no"), "line")
+
+
+def _table(rows: DataFrame, columns: list[str], order: list, head: str) -> DataFrame:
+    """(output) with one Markdown table of a bounded report: one line for each configuration or arm."""
+    cells = [F.format_string("%.4f", c) if t == "double" else F.col(c).cast("string") for c, t in rows.select(*columns).dtypes]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |"))
+    title = f"## {head}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    lists = rows.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))).alias("l"))
+    return lists.select(F.when(F.size("l") > 0, F.concat(F.lit(title), F.array_join(F.transform("l", lambda r: r["line"]), "\n"))).otherwise(F.lit(f"## {head}\n\n_none_")).alias("output"))
+
+
+def ablation_report(configs: DataFrame, arms: DataFrame, k: int = 10) -> DataFrame:
+    """(output): a Markdown report of weight vectors (config, ord, weights, k, f1, ndcg) and arms (arm, ord, n_queries, k, f1, ndcg).
+
+    The best vector by NDCG is named, and whether it is the default one; no arm is called better. Both tables have a row for
+    each configuration, so they are small.
+    """
+    own = configs.filter(F.col("k") == k)
+    best = own.agg(F.max_by("config", F.struct("ndcg", -F.col("ord"))).alias("best"), F.max("ndcg").alias("value"))
+    note = F.format_string(f"Best by NDCG@{k}: **%s** (%.4f); the default is the best: **%s**", "best", "value", F.when(F.col("best") == "default", "yes").otherwise("no"))
+    first = _table(own, ["config", "weights", "f1", "ndcg"], ["ord"], f"Weight vectors at {k}").withColumnRenamed("output", "a")
+    second = _table(arms.filter(F.col("k") == k), ["arm", "n_queries", "f1", "ndcg"], ["ord"], f"Arms at {k}").withColumnRenamed("output", "b")
+    rows = first.join(F.broadcast(second)).join(F.broadcast(best))  # one row each
+    return rows.select(F.concat_ws("\n\n", "a", "b", F.coalesce(note, F.lit("No weight vectors."))).alias("output"))

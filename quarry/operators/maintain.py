@@ -17,6 +17,12 @@ def gone(found: DataFrame, stored: DataFrame) -> DataFrame:
     return stored.join(found, "file_path", "left_anti")
 
 
+def gone_less(stored: DataFrame, found: DataFrame, complete: bool, drop: list[str] | None = None) -> DataFrame:
+    """Stored files less those that a complete scan didn't find and those to be dropped."""
+    kept = stored.join(found, "file_path", "left_semi") if complete else stored
+    return kept.filter(~F.col("file_path").isin(drop)) if drop else kept
+
+
 def merge(stored: DataFrame, news: DataFrame, key: str = "file_path") -> DataFrame:
     """Stored rows with those of ``news`` in place of rows with the same key."""
     return stored.join(news, key, "left_anti").unionByName(news)

@@ -59,3 +59,25 @@ def weighted(rows: DataFrame, measures: list[str], keys: list[str]) -> DataFrame
 def rank_configs(rows: DataFrame, measure: str, order: str = "ord") -> DataFrame:
     """Configurations from best to worst by a measure; ties keep the order of the grid. The grid is small."""
     return rows.orderBy(F.desc(measure), order)
+
+
+def surfaced_lists(turns: DataFrame, items: str = "items") -> DataFrame:
+    """(query_id, rank, item): what the turns (task, turn, items array) of each task surfaced, each item once, first seen first."""
+    seen = turns.select(F.col("task").alias("query_id"), "turn", F.posexplode(items).alias("pos", "item")).groupBy("query_id", "item").agg(F.min(F.struct("turn", "pos")).alias("at"))
+    return seen.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", "rank", "item")
+
+
+def trajectories(turns: DataFrame, gold: DataFrame, ks: list[int], threshold: float) -> DataFrame:
+    """(query_id, k, recall, precision, f1, ndcg, turn, tokens) of tasks: quality of all they surfaced, and when they covered the gold.
+
+    turns: (task, turn, tokens, items array); gold: (task, item).
+    """
+    tasks = turns.select(F.col("task").alias("query_id")).distinct()
+    scores = at_k(surfaced_lists(turns), gold.withColumnRenamed("task", "query_id"), tasks, ks)
+    return scores.join(coverage(turns, gold, threshold).withColumnRenamed("task", "query_id"), "query_id")
+
+
+def best_config(rows: DataFrame, measure: str, default: str = "default") -> DataFrame:
+    """(config, value, agrees): the best of (config, ord, measure) and whether it is the default one."""
+    best = rank_configs(rows, measure).limit(1)
+    return best.select("config", F.col(measure).alias("value"), (F.col("config") == default).alias("agrees"))

@@ -27,8 +27,23 @@ def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
 
 
+def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, pos, row_id, col_id, tf): occurrences of each query word.
+
+    A word is a row (query_id, term, pos), or with ``offset`` and ``size`` one of the terms of a phrase, whose terms must
+    stand next to each other in one column; phrases need an index with positions.
+    """
+    plain = index.drop("positions")
+    if "size" not in queries.columns:
+        return plain.join(queries, "term").select("query_id", "pos", "row_id", "col_id", "tf")
+    single = plain.join(queries.filter("size = 1"), "term").select("query_id", "pos", "row_id", "col_id", "tf")
+    starts = index.join(queries.filter("size > 1"), "term").select("query_id", "pos", "row_id", "col_id", "size", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
+    whole = starts.groupBy("query_id", "pos", "row_id", "col_id", "size", "start").agg(F.count("*").alias("n")).filter("n = size")
+    return single.unionByName(whole.groupBy("query_id", "pos", "row_id", "col_id").agg(F.count("*").alias("tf")))
+
+
 def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights: list[float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, row_id, score), lower is better, of queries (query_id, term, pos); a repeated term counts again.
+    """(query_id, row_id, score), lower is better, of queries as in ``matches``; a repeated word counts again.
 
     The inverse document frequency is at least 1e-6, and counts rows with the term whatever the weight of its column.
     """
@@ -37,7 +52,7 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights:
     weight = F.lit(1.0)
     if weights:
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("col_id") + 1)
-    hits = index.join(queries, "term").groupBy("query_id", "pos", "term", "row_id").agg(F.sum(weight * F.col("tf")).alias("f"))
+    hits = matches(index, queries).groupBy("query_id", "pos", "row_id").agg(F.sum(weight * F.col("tf")).alias("f"))
     frequency = hits.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
     idf = F.log((F.lit(n_rows) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     scored = hits.join(frequency, ["query_id", "pos"]).join(doc_lengths, "row_id")
@@ -88,6 +103,31 @@ def pack(ranked: DataFrame, budget: int, text: str = "text") -> DataFrame:
     return out.withColumn("running", F.sum("tokens").over(run)).filter(F.col("running") <= budget)
 
 
+def retrieve(scores: DataFrame, chunks: DataFrame, max_results: int = 20, max_tokens: int = 4000, file_filter: list[str] | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(packed, counts) from scores (query_id, row_id, score).
+
+    The best rows are taken first; those of other paths, then overlaps, go from them; the rest is ranked anew, ties by path and
+    place, and packed. counts: (query_id, found) before packing, for queries that have any.
+    """
+    best = top_k(scores, max_results).drop("rank").join(chunks, "row_id")
+    order = Window.partitionBy("query_id").orderBy("score", F.split("file_path", "/"), "start_byte", "end_byte", "row_id")
+    ranked = filter_paths(best.withColumn("rank", F.row_number().over(order)), file_filter)
+    kept = drop_overlaps(ranked).select("query_id", "row_id")
+    again = Window.partitionBy("query_id").orderBy("rank")
+    rows = ranked.join(kept, ["query_id", "row_id"], "left_semi").withColumn("rank", F.row_number().over(again))
+    return pack(rows, max_tokens, text), rows.groupBy("query_id").agg(F.count("*").alias("found"))
+
+
+def check_weights(weights: list[float], n_columns: int) -> list[float]:
+    """The weights as numbers; an error unless there is a finite one for each column."""
+    import math
+
+    found = [float(w) for w in weights]
+    if len(found) != n_columns or not all(map(math.isfinite, found)):
+        raise ValueError(f"expected {n_columns} finite weights, got {weights}")
+    return found
+
+
 def sweep(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, vectors: dict[str, list[float]], k1: float = K1, b: float = B) -> DataFrame:
     """(config, query_id, row_id, score) of all weight vectors in one pass: a vector adds a sum to the aggregates, not rows to the joins."""
     n_rows, total = corpus_stats(doc_lengths).first()

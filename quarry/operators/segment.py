@@ -20,3 +20,30 @@ def by_header(docs: DataFrame, header: str) -> DataFrame:
     order = Window.partitionBy("row_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines(docs).withColumn("segment", F.sum(F.col("line_text").rlike(header).cast("int")).over(order)).filter("segment > 0")
     return rows.groupBy("row_id", "segment").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+
+
+def by_size(docs: DataFrame, limit: int = 300) -> DataFrame:
+    """(row_id, segment, start_line, end_line, start_byte, end_byte): runs of whole lines of about ``limit`` non-blank characters.
+
+    A line belongs to the segment in which its first non-blank character falls, so a longer line makes the next segments empty: they are left out.
+    """
+    solid = F.length(F.regexp_replace("line_text", r"\s", ""))
+    before = Window.partitionBy("row_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines(docs).withColumn("segment", F.floor(F.coalesce(F.sum(solid).over(before), F.lit(0)) / limit))
+    return rows.groupBy("row_id", "segment").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+
+
+def places(chunks: DataFrame) -> DataFrame:
+    """Chunks (corpus_id, file_path, place, chunk_text) with the bytes and lines they have when a file's chunks are joined in order."""
+    of_file = Window.partitionBy("corpus_id", "file_path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.length("chunk_text") - F.length(F.replace("chunk_text", F.lit("\n"), F.lit("")))
+    start, line = F.coalesce(F.sum(F.octet_length("chunk_text")).over(of_file), F.lit(0)), F.coalesce(F.sum(ends).over(of_file), F.lit(0)) + 1
+    rows = chunks.withColumns({"start_byte": start.cast("long"), "start_line": line.cast("int"), "line_ends": ends})
+    last = F.col("start_line") + F.col("line_ends") - F.when(F.col("chunk_text").endswith("\n"), 1).otherwise(0)
+    return rows.withColumns({"end_byte": F.col("start_byte") + F.octet_length("chunk_text"), "end_line": last}).drop("line_ends")
+
+
+def join_files(chunks: DataFrame) -> DataFrame:
+    """(corpus_id, file_path, text): the chunks (corpus_id, file_path, place, chunk_text) of each file in order; a file fits one row."""
+    lists = chunks.groupBy("corpus_id", "file_path").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_text"))).alias("parts"))
+    return lists.select("corpus_id", "file_path", F.array_join(F.transform("parts", lambda p: p["chunk_text"]), "").alias("text"))

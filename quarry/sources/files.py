@@ -15,6 +15,7 @@ from quarry.functions.hashes import file_hash
 
 #: Suffixes and their languages (fixed values).
 LANGUAGES = {".py": "python", ".ts": "typescript", ".go": "go"}
+NAMES = "*.{" + ",".join(s[1:] for s in LANGUAGES) + "}"
 #: Patterns that are ignored unless switched off (fixed values).
 DEFAULT_IGNORES = ["env/", ".venv/", "venv/", "node_modules/", "__pycache__/", "*.pyc", "target/", "dist/", "build/", ".git/"]
 
@@ -66,5 +67,4 @@ def prepare(files: DataFrame, root: str, ignore: list[str] | None = None, defaul
 
 def scan(spark: SparkSession, root: str, **rules) -> DataFrame:
     """``prepare`` of all files below ``root``; suffixes are pruned while listing, so other files aren't read."""
-    names = "*.{" + ",".join(s[1:] for s in LANGUAGES) + "}"
-    return prepare(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root), root, **rules)
+    return prepare(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", NAMES).load(root), root, **rules)
