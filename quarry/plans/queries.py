@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import query_terms, token_cost, tokens
+from quarry.functions.text import query_terms, query_words, token_cost, tokens
 from quarry.functions.hashes import content_hash
 from quarry.operators import formats, maintain, metrics, search, segment
+from quarry.sources import records
 
 TEXT = "the ingestion of the nd threwh"
+PHRASES = "of_the ingestion threwh"
 COLUMNS, WEIGHTS = ["symbol_name", "text"], [10.0, 1.0]
 
 
@@ -233,11 +235,119 @@ def content_hashes(spark, sf_dir):
     return c.select("row_id", content_hash(F.col("text").cast("binary")).alias("hash"))
 
 
+def phrase_query(spark, sf_dir):
+    """The best rows for the words ``of_the`` (a phrase), ``ingestion`` and ``threwh``."""
+    rows = [(0, t, p, i, len(w)) for p, w in enumerate(query_words(PHRASES)) for i, t in enumerate(w)]
+    asked = spark.createDataFrame(rows, "query_id long, term string, pos int, offset int, size int")
+    c = chunks(spark, sf_dir)
+    scores = search.bm25(search.postings(c, COLUMNS, positions=True), search.lengths(c, COLUMNS), asked, WEIGHTS)
+    return search.top_k(_rounded(scores), 20).select("row_id", "score", "rank")
+
+
+def search_filtered(spark, sf_dir):
+    """The 20 best rows of every benchmark item, of these those of French or German files, packed into 4000 tokens."""
+    c = chunks(spark, sf_dir)
+    scores = _rounded(search.bm25(search.postings(c, ["text"]), search.lengths(c, ["text"]), _benchmark_terms(spark, sf_dir)))
+    packed, found = search.retrieve(scores, c, 20, 4000, ["/*/fr/**", "de/*.txt"])
+    return packed.join(found, "query_id").select("query_id", "row_id", "rank", "tokens", "running", "found")
+
+
+def benchmark_records(spark, sf_dir):
+    """Records made of documents (a file with its lines as gold; some null, broken or with odd elements), read back."""
+    c = chunks(spark, sf_dir)
+    gold = F.to_json(F.array(F.struct(F.col("file_path").alias("file"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"))))
+    odd = F.concat(F.lit('[3, null, {"file": 5}, '), F.substring(gold, F.lit(2), F.length(gold)))
+    kind = F.col("row_id") % 5
+    context = F.when(kind == 1, F.lit("[{")).when(kind == 2, odd).when(kind != 3, gold)
+    rows = records.benchmark_queries(c.select(F.col("row_id").cast("string").alias("instance_id"), F.col("source").alias("repo"), F.col("symbol_name").alias("problem_statement"), context.alias("gold_context")))
+    return rows.select("corpus_id", "query_id", "query", F.array_join(F.transform("gold_blocks", lambda b: b["symbol_name"]), ",").alias("blocks"), F.array_join("gold_files", ",").alias("files"))
+
+
+def task_selection(spark, sf_dir):
+    """The first 15 documents in French or German of the first three sources."""
+    c = chunks(spark, sf_dir).select(F.col("source").alias("repo"), F.col("row_id").alias("instance_id"), F.col("lang").alias("language"))
+    return records.select_tasks(c, 3, 15, ("fr", "de"))
+
+
+def size_segments(spark, sf_dir):
+    return segment.by_size(chunks(spark, sf_dir), 300)
+
+
+def _line_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    rows = segment.lines(c).join(c.select("row_id", "file_path", "source"), "row_id")
+    return rows.select(F.col("source").alias("corpus_id"), "file_path", F.col("line").alias("place"), F.col("line_text").alias("chunk_text"))
+
+
+def chunk_places(spark, sf_dir):
+    """Bytes and lines of chunks that are known by their order only."""
+    return segment.places(_line_chunks(spark, sf_dir)).select("file_path", "place", "start_byte", "end_byte", "start_line", "end_line")
+
+
+def file_texts(spark, sf_dir):
+    """Files put together from their chunks."""
+    return segment.join_files(_line_chunks(spark, sf_dir))
+
+
+def _turns(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("task"), "turn", token_cost(F.col("text")).alias("tokens"), F.array_distinct(tokens(F.col("text"))).alias("items"))
+    return turns.filter("turn > 0"), turns.filter("turn = 0").select("task", F.explode("items").alias("item")).filter("length(item) >= 10")
+
+
+def surfaced_lists(spark, sf_dir):
+    """The words of each conversation after its first turn, first seen first."""
+    return metrics.surfaced_lists(_turns(spark, sf_dir)[0])
+
+
+def trajectory_quality(spark, sf_dir):
+    """How well the words of later turns cover the long words of the first one, and when."""
+    rows = metrics.trajectories(*_turns(spark, sf_dir), [1, 5, 10], 0.5)
+    return rows.select("query_id", "k", "turn", "tokens", *[F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("recall", "precision", "f1", "ndcg")])
+
+
+def macro_quality(spark, sf_dir):
+    """Means of the measures over the benchmark items."""
+    rows = metrics.macro(ranking_quality(spark, sf_dir))
+    return rows.select("k", *[F.round(c, 3).alias(c) for c in ("recall", "precision", "f1", "ndcg")])
+
+
+def weighted_arms(spark, sf_dir):
+    """Mean bytes and lines of documents by language, from the means by language and source weighted by their documents."""
+    c = chunks(spark, sf_dir).withColumn("lines", F.size(F.split("text", "\n", -1)))
+    parts = c.groupBy(F.col("lang").alias("arm"), "source").agg(F.count("*").alias("n_queries"), F.avg("end_byte").alias("bytes"), F.avg("lines").alias("lines"))
+    rows = metrics.weighted(parts, ["bytes", "lines"], ["arm"])
+    return rows.select("arm", "n_queries", F.round("bytes", 3).alias("bytes"), F.round("lines", 3).alias("lines"))
+
+
+def ingest_totals(spark, sf_dir):
+    """For each source the language of its first document, and its documents."""
+    return chunks(spark, sf_dir).groupBy("source").agg(F.min_by("lang", "row_id").alias("language"), F.count("*").alias("chunk_count"))
+
+
+def ablation_report(spark, sf_dir):
+    """The quality of each weight vector for all benchmark items, as a Markdown report; the arms are the best rows kept: 1 or 5."""
+    ranked = weight_sweep(spark, sf_dir).select("config", "query_id", "rank", F.col("row_id").alias("item")).withColumn("query_id", F.struct("config", "query_id"))
+    names = F.explode(F.array(*map(F.lit, GRID))).alias("config")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id")).select("query_id", names)
+    gold = _gold(spark, sf_dir).select("query_id", "item", names)
+    pair = lambda df: df.withColumn("query_id", F.struct("config", "query_id")).drop("config")
+    scores = metrics.at_k(ranked.drop("config"), pair(gold), pair(items), [1, 5]).withColumn("config", F.col("query_id.config"))
+    means = scores.groupBy("config", "k").agg(F.avg("f1").alias("f1"), F.avg("ndcg").alias("ndcg"), F.count("*").alias("n_queries"))
+    order, weights = F.lit(0), F.lit("")
+    for i, (name, ws) in enumerate(GRID.items()):
+        order, weights = F.when(F.col("config") == name, i).otherwise(order), F.when(F.col("config") == name, ",".join(f"{w:g}" for w in ws)).otherwise(weights)
+    configs = means.withColumns({"ord": order, "weights": weights})
+    arms = means.filter("config = 'default'").select(F.concat(F.lit("best "), "k").alias("arm"), F.col("k").alias("ord"), "n_queries", F.lit(5).alias("k"), "f1", "ndcg")
+    return formats.ablation_report(configs, arms, 5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_stats, doc_freq, corpus_stats, bm25_topk, bm25_weighted, bm25_batch, phrase_match, glob_filter, path_outline, budget_pack, overlap_dedup, change_detect,
         reconcile_deletes, upsert_merge, status_by_language, ranking_quality, turns_to_coverage, offset_synthesis, line_segments, locator_format, weight_sweep, text_format, json_format, locator_lists, outline_budget, content_hashes,
+        phrase_query, search_filtered, benchmark_records, task_selection, size_segments, chunk_places, file_texts, surfaced_lists, trajectory_quality, macro_quality, weighted_arms,
+        ingest_totals, ablation_report,
     )
 }
 
@@ -296,3 +406,38 @@ l AS (SELECT CAST(n + 2 AS INTEGER) AS line_no, printf('[%d] %s.%s (function) %s
 w AS (SELECT *, sum(strlen(line) + 1) OVER (ORDER BY line_no) AS bytes FROM l)
 SELECT line_no, line FROM w WHERE line_no <= 2 OR bytes // 4 <= 800"""
 ORACLES["weight_sweep"] = " UNION ALL ".join(f"SELECT '{name}' AS config, * FROM ({_bm25_sql(_MANY, COLUMNS, ws, 5, 'query_id, row_id, score, rank')})" for name, ws in GRID.items())
+ORACLES["phrase_query"] = rf"""{CHUNKS}, t AS (SELECT row_id, 0 AS c, 10.0 AS w, unnest({TOK.format("symbol_name")}) AS term, generate_subscripts({TOK.format("symbol_name")}, 1) AS at FROM chunks
+  UNION ALL SELECT row_id, 1, 1.0, unnest({_T}), generate_subscripts({_T}, 1) FROM chunks),
+n AS (SELECT count(*) AS n FROM chunks), l AS (SELECT row_id, count(*) AS len FROM t GROUP BY row_id), a AS (SELECT sum(len) AS total FROM l),
+m AS (SELECT 0 AS pos, x.row_id, x.w FROM t x JOIN t y ON x.row_id = y.row_id AND x.c = y.c AND y.at = x.at + 1 WHERE x.term = 'of' AND y.term = 'the'
+  UNION ALL SELECT 1, row_id, w FROM t WHERE term = 'ingestion' UNION ALL SELECT 2, row_id, w FROM t WHERE term = 'threwh'),
+h AS (SELECT pos, row_id, sum(w) AS f FROM m GROUP BY ALL), d AS (SELECT pos, count(*) AS df FROM h GROUP BY ALL),
+s AS (SELECT h.row_id, CAST(round(-sum(greatest(ln((n.n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / (a.total / n.n)))) * 1e6) AS BIGINT) AS score
+  FROM h JOIN d ON h.pos = d.pos JOIN l ON h.row_id = l.row_id, n, a GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score, row_id) AS INTEGER) AS rank FROM s) WHERE rank <= 20"""
+ORACLES["search_filtered"] = _bm25_sql(_MANY, ["text"], [1.0], 20, "X").replace("SELECT X FROM r WHERE rank <= 20", """, x AS (SELECT query_id, r.row_id, score, source, lang, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS tokens FROM r JOIN chunks ON r.row_id = chunks.row_id WHERE rank <= 20 AND lang IN ('fr', 'de')),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, source, lang, CAST(row_id AS VARCHAR) || '.txt') AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) AS found FROM x),
+z AS (SELECT query_id, row_id, rank, tokens, found, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running FROM y) SELECT query_id, row_id, rank, tokens, running, found FROM z WHERE running <= 4000""")
+ORACLES["benchmark_records"] = CHUNKS + """ SELECT source AS corpus_id, CAST(row_id AS VARCHAR) AS query_id, symbol_name AS query, CASE WHEN row_id % 5 IN (1, 3) THEN '' ELSE file_path END AS files,
+  CASE WHEN row_id % 5 IN (1, 3) THEN '' ELSE file_path || '::L1-L' || (length(text) - length(replace(text, chr(10), '')) + 1) END AS blocks FROM chunks"""
+ORACLES["task_selection"] = """SELECT source AS repo, doc_id AS instance_id, lang AS language FROM documents WHERE lang IN ('fr', 'de') AND source IN (SELECT DISTINCT source FROM documents WHERE lang IN ('fr', 'de') AND source IS NOT NULL ORDER BY source LIMIT 3) ORDER BY source, doc_id LIMIT 15"""
+ORACLES["size_segments"] = _LINES + r", w AS (SELECT *, coalesce(sum(length(regexp_replace(line_text, '[ \t\n\x0B\f\r]', '', 'g'))) OVER (PARTITION BY row_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines) SELECT row_id, CAST(before // 300 AS BIGINT) AS segment, min(line) AS start_line, max(line) AS end_line, min(start_byte) AS start_byte, max(end_byte) AS end_byte FROM w GROUP BY ALL"
+ORACLES["chunk_places"] = _LINES + " SELECT file_path, line AS place, start_byte, lines.end_byte, line AS start_line, line AS end_line FROM lines JOIN chunks ON lines.row_id = chunks.row_id"
+ORACLES["file_texts"] = CHUNKS + " SELECT source AS corpus_id, file_path, text FROM chunks WHERE text <> ''"
+_TURNS = rf"WITH t AS (SELECT conv_id AS task, turn, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS tokens, list_distinct({_T}) AS unordered, {_T} AS items FROM conversations)"
+_SEEN = _TURNS + """, e AS (SELECT task, turn, unnest(items) AS item, generate_subscripts(items, 1) AS pos FROM t WHERE turn > 0),
+f AS (SELECT task, item, min((turn, pos)) AS place FROM e GROUP BY ALL), s AS (SELECT task AS query_id, CAST(row_number() OVER (PARTITION BY task ORDER BY place) AS INTEGER) AS rank, item FROM f)"""
+ORACLES["surfaced_lists"] = _SEEN + " SELECT query_id, rank, item FROM s"
+_MEASURES = """CAST(round(recall * 1e6) AS BIGINT) AS recall, CAST(round(precision * 1e6) AS BIGINT) AS precision,
+  CAST(round(CASE WHEN recall + precision = 0 THEN 0 ELSE 2 * recall * precision / (recall + precision) END * 1e6) AS BIGINT) AS f1"""
+ORACLES["trajectory_quality"] = _SEEN + f""", g AS (SELECT DISTINCT task AS query_id, item FROM (SELECT task, unnest(items) AS item FROM t WHERE turn = 0) WHERE length(item) >= 10),
+gs AS (SELECT query_id, count(*) AS g FROM g GROUP BY ALL), ks AS (SELECT unnest([1, 5, 10]) AS k), q AS (SELECT DISTINCT task AS query_id FROM t WHERE turn > 0),
+hr AS (SELECT s.query_id, rank, CASE WHEN g.item IS NULL THEN 0 ELSE 1 END AS hit FROM s LEFT JOIN g ON s.query_id = g.query_id AND s.item = g.item),
+m AS (SELECT q.query_id, k, count(rank) AS n, coalesce(sum(CASE WHEN rank <= k THEN hit END), 0) AS h, coalesce(sum(CASE WHEN rank <= k THEN hit / log2(rank + 1.0) END), 0) AS dcg FROM q CROSS JOIN ks LEFT JOIN hr ON hr.query_id = q.query_id GROUP BY ALL),
+v AS (SELECT m.query_id, k, dcg, coalesce(g, 0) AS g, CASE WHEN g IS NULL THEN 1.0 ELSE h / g END AS recall, CASE WHEN n = 0 THEN 0.0 ELSE h / least(k, n) END AS precision,
+  (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= least(k, coalesce(g, 0))) AS ideal FROM m LEFT JOIN gs ON m.query_id = gs.query_id),
+c AS (SELECT * FROM ({ORACLES["turns_to_coverage"]}))
+SELECT v.query_id, CAST(k AS INTEGER) AS k, c.turn, c.tokens, {_MEASURES}, CAST(round(CASE WHEN g = 0 THEN 1.0 ELSE dcg / ideal END * 1e6) AS BIGINT) AS ndcg FROM v JOIN c ON v.query_id = c.task"""
+ORACLES["macro_quality"] = f"SELECT k, round(avg(recall), 3) AS recall, round(avg(precision), 3) AS precision, round(avg(f1), 3) AS f1, round(avg(ndcg), 3) AS ndcg FROM ({ORACLES['ranking_quality']}) GROUP BY k"
+ORACLES["weighted_arms"] = CHUNKS + " SELECT lang AS arm, count(*) AS n_queries, round(avg(end_byte), 3) AS bytes, round(avg(length(text) - length(replace(text, chr(10), '')) + 1), 3) AS lines FROM chunks GROUP BY lang"
+ORACLES["ingest_totals"] = "SELECT source, arg_min(lang, doc_id) AS language, count(*) AS chunk_count FROM documents GROUP BY source"

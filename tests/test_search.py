@@ -21,6 +21,30 @@ def test_bm25_equals_fts5(spark):
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_phrases_in_queries_equal_fts5(spark):
+    from quarry.app import query_table
+
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(name, body, tokenize='unicode61 remove_diacritics 2')")
+    rows = ROWS + [(5, "a", "load config config load config"), (6, "config_load", "load and config"), (7, "z", "x x x")]
+    db.executemany("insert into t(rowid, name, body) values (?, ?, ?)", rows)
+    chunks = spark.createDataFrame(rows, "row_id long, name string, body string")
+    index, lengths = search.postings(chunks, ["name", "body"], positions=True), search.lengths(chunks, ["name", "body"])
+    for text, match in (("load_config", '"load config"'), ("load_config save x_x", '"load config" OR save OR "x x"')):
+        got = {r.row_id: r.score for r in search.bm25(index, lengths, query_table(spark, {0: text}), [10.0, 2.0]).collect()}
+        want = dict(db.execute("select rowid, bm25(t, 10.0, 2.0) from t where t match ?", (match,)))
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_retrieve_filters_after_the_limit(spark):
+    scores = spark.createDataFrame([(0, i, s) for i, s in ((1, -3.0), (2, -2.0), (3, -2.0), (4, -1.0))], "query_id long, row_id long, score double")
+    chunks = spark.createDataFrame([(1, "/a.go", 0, 9, "x" * 40), (2, "/b-c/x.py", 0, 9, "x" * 40), (3, "/b/x.py", 0, 9, "x" * 40), (4, "/d.py", 0, 9, "x")], "row_id long, file_path string, start_byte long, end_byte long, text string")
+    packed, found = search.retrieve(scores, chunks, 3, 100, ["*.py"])
+    assert [(r["rank"], r.row_id) for r in packed.orderBy("rank").collect()] == [(1, 3), (2, 2)] and found.first().found == 2
+    assert search.retrieve(scores, chunks, 3, 100, [])[0].isEmpty()
+
+
 def test_phrases_count_overlaps(spark):
     chunks = spark.createDataFrame([(1, "a b a b a"), (2, "b a"), (3, None)], "row_id long, t string")
     assert {(r.row_id, r.n) for r in search.phrase_rows(chunks, "t", ["a", "b", "a"]).collect()} == {(1, 2)}
