@@ -181,6 +181,16 @@ def test_repeated_passages(spark):
     assert any((r.doc_id, r.start_word, r.end_word) == (1, 30, 90) for r in got)
 
 
+def test_repeats_whose_parts_stand_elsewhere_first(spark):
+    own = random.Random(11)
+    words = lambda n: " ".join("".join(own.choices("abcdefgh", k=7)) for _ in range(n))
+    passage = words(88).split(" ")
+    parts = [words(60) + " " + " ".join(passage[:44]), " ".join(passage[44:]) + " " + words(60)]
+    whole = [f"{words(30)} {' '.join(passage)} {words(n)}" for n in (20, 25)]
+    got = repeats.find(table(spark, [*parts, *whole, words(200)])).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in got} == {(2, 30, 118, 3), (3, 30, 118, 2)}
+
+
 def test_chain_follows_both_orders():
     import numpy as np
 
