@@ -191,6 +191,30 @@ def test_repeats_whose_parts_stand_elsewhere_first(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in got} == {(2, 30, 118, 3), (3, 30, 118, 2)}
 
 
+def unlike_words(seed):
+    own = random.Random(seed)
+    return lambda n: ["".join(own.choices("abcdefgh", k=7)) for _ in range(n)]
+
+
+def spans_of(spark, texts):
+    return {(r.doc_id, r.start_word, r.end_word) for r in repeats.find(table(spark, [" ".join(t) for t in texts])).collect()}
+
+
+@pytest.mark.parametrize("gaps", [(150, 150), (120, 170)])
+def test_repeats_cut_chains_at_wide_gaps(spark, gaps):
+    words = unlike_words(12)
+    p, q = words(100), words(100)
+    texts = [words(20) + p + words(g) + q + words(20) for g in gaps]
+    assert spans_of(spark, texts) == {(i, a, a + 100) for i, g in enumerate(gaps) for a in (20, 120 + g)}
+
+
+def test_pieces_are_the_longest_over_the_limit():
+    import numpy as np
+
+    blocks = np.array([[0, 0, 30], [40, 40, 30], [79, 79, 5]])
+    assert repeats._pieces(blocks, np.array([[10, 0], [9, 0]])) == [(0, 70, 0, 70, 60), (79, 84, 79, 84, 5)]
+
+
 def test_chain_follows_both_orders():
     import numpy as np
 
