@@ -208,6 +208,37 @@ def test_repeats_cut_chains_at_wide_gaps(spark, gaps):
     assert spans_of(spark, texts) == {(i, a, a + 100) for i, g in enumerate(gaps) for a in (20, 120 + g)}
 
 
+EDITS = {"one": [46], "at both ends": [2, 57], "ten": [3, 9, 14, 19, 44, 47, 50, 52, 55, 57]}
+
+
+@pytest.mark.parametrize("edits", EDITS.values(), ids=EDITS)
+def test_repeats_go_past_edits(spark, edits):
+    words = unlike_words(13)
+    p = words(60)
+    q = [w if i not in edits else words(1)[0] for i, w in enumerate(p)]
+    assert spans_of(spark, [words(30) + p + words(30), words(40) + q + words(20)]) == {(0, 30, 90), (1, 40, 100)}
+
+
+def test_recall_of_edited_repeats(spark):
+    words, own = unlike_words(14), random.Random(14)
+    texts, want = [], {}
+    for i in range(150):
+        p, q = words(70), []
+        for w in p:
+            kind = own.random()
+            q += [w] if kind > 0.06 else words(1) if kind > 0.03 else [] if kind > 0.015 else [w, *words(1)]
+        if max(x - y for x, y in zip([i for i, w in enumerate(p) if w not in q] + [70], [-1] + [i for i, w in enumerate(p) if w not in q], strict=True)) < 24:
+            continue  # no run that is certain to hold a seed
+        want[len(texts)] = (25, 95)
+        texts += [words(25) + p + words(25), words(35) + q + words(15)]
+    got = {}
+    for d, a, b in spans_of(spark, texts):
+        got.setdefault(d, []).append((a, b))
+    found = sum(any(min(b, y) - max(a, x) >= 60 for x, y in got.get(d, [])) for d, (a, b) in want.items())
+    print(f"edited passages found over 60 of 70 words: {found} of {len(want)}")
+    assert found >= 0.95 * len(want)
+
+
 def test_pieces_are_the_longest_over_the_limit():
     import numpy as np
 
