@@ -208,6 +208,18 @@ def test_repeats_cut_chains_at_wide_gaps(spark, gaps):
     assert spans_of(spark, texts) == {(i, a, a + 100) for i, g in enumerate(gaps) for a in (20, 120 + g)}
 
 
+def test_repeats_at_all_places(spark):
+    words = unlike_words(15)
+    p, line = words(60), words(10)
+    twice = [words(100) + p + words(40), words(30) + p + words(200) + p + words(10), words(9) + p + words(70) + p + words(30) + p + words(5)]
+    assert spans_of(spark, twice) == {(0, 100, 160), (1, 30, 90), (1, 290, 350), (2, 9, 69), (2, 139, 199), (2, 229, 289)}
+    first = [words(20) + p + words(80) + p + words(20), words(50) + p + words(50)]
+    assert spans_of(spark, first) == {(0, 20, 80), (0, 160, 220), (1, 50, 110)}
+    lines = [words(100) + line * 50 + words(80), words(70) + line * 50 + words(90)]
+    got = spans_of(spark, lines)
+    assert {(0, 100, 600), (1, 70, 570)} <= got
+
+
 EDITS = {"one": [46], "at both ends": [2, 57], "ten": [3, 9, 14, 19, 44, 47, 50, 52, 55, 57]}
 
 
