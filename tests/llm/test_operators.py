@@ -258,6 +258,29 @@ def test_pieces_are_the_longest_over_the_limit():
     assert repeats._pieces(blocks, np.array([[10, 0], [9, 0]])) == [(0, 70, 0, 70, 60), (79, 84, 79, 84, 5)]
 
 
+def test_repeats_whose_parts_stand_in_many_documents(spark):
+    words = unlike_words(16)
+    parts = [words(30), words(30)]
+    texts = [words(20) + p + words(20) for p in parts for _ in range(5)]
+    whole = [words(n) + parts[0] + parts[1] + words(30) for n in (15, 25)]
+    assert spans_of(spark, texts + whole) == {(10, 15, 75), (11, 25, 85)}
+
+
+def test_recall_of_exact_repeats(spark):
+    words, own = unlike_words(17), random.Random(17)
+    parts = [words(own.randint(20, 45)) for _ in range(12)]
+    texts = [sum((own.choice(parts) for _ in range(4)), words(5)) + words(5) for _ in range(60)]
+    runs = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t) - 49):
+            runs.setdefault(tuple(t[a : a + 50]), []).append((i, a))
+    want = [x for at in runs.values() if len({i for i, _ in at}) > 1 for x in at]
+    got = spans_of(spark, texts)
+    found = sum(any(d == i and x <= a and a + 50 <= y for d, x, y in got) for i, a in want)
+    print(f"runs of 50 words found: {found} of {len(want)}")
+    assert found == len(want)
+
+
 def test_chain_follows_both_orders():
     import numpy as np
 
