@@ -7,8 +7,8 @@ interval, so blocks decode independently. Blocks without coefficients fill the l
 
 Reading. The RIFF chunks and the index give the frames; tables, scan and restart intervals are parsed from each frame.
 Intervals that consist of such coefficients are unpacked at once, all others by a general Huffman reader. Pixels come from the
-inverse cosine transform. A frame starts a shot if its grey histogram differs from the one before by more than the mean and three
-deviations of the differences around it.
+inverse cosine transform. A frame starts a shot if its grey histogram differs from the one before by more than the median and three
+deviations (by median deviation) of the differences around it, leaving itself out.
 
 Null texts are empty, that is one block of zero bytes. Repeated rows come out as often as they stand; extra columns are ignored.
 """
@@ -29,6 +29,7 @@ from ._common import text_batches
 SIDE, BLOCKS = 64, 64  # pixels on a side, blocks of a frame
 RATE = 10  # frames a second
 BINS, AROUND, LEAST = 16, 8, 0.05
+DEVIATION = 1.4826  # standard deviations in a median deviation
 #: Zigzag order of an 8 x 8 block, by rule: diagonals, taken up and down in turn.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 _u = np.arange(8)
@@ -214,16 +215,20 @@ def histogram(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
 
 
 def shots(histograms: np.ndarray) -> list[int]:
-    """First frames of shots; frame 0 is one."""
-    if len(histograms) < 2:
-        return [0]
+    """First frames of shots; frame 0 is one.
+
+    A difference is held against the median of its neighbours, and three deviations by their median deviation from it; it isn't one of
+    them itself, so cuts near an end, in short files and close to another cut count. Without neighbours both are 0.
+    """
     d = np.abs(np.diff(histograms, axis=0)).sum(1) / 2
-    sums, squares = np.append(0, np.cumsum(d)), np.append(0, np.cumsum(d * d))
-    lo, hi = np.maximum(np.arange(len(d)) - AROUND, 0), np.minimum(np.arange(len(d)) + AROUND + 1, len(d))
-    n = hi - lo
-    mean = (sums[hi] - sums[lo]) / n
-    spread = np.sqrt(np.maximum((squares[hi] - squares[lo]) / n - mean * mean, 0))
-    return [0, *(int(i) + 1 for i in np.flatnonzero(d > mean + 3 * spread + LEAST))]
+    first = [0]
+    for i, x in enumerate(d):
+        near = np.delete(d[max(0, i - AROUND) : i + AROUND + 1], i - max(0, i - AROUND))
+        middle = np.median(near) if len(near) > 1 else 0.0  # one neighbour alone may be a cut as well
+        spread = DEVIATION * np.median(np.abs(near - middle)) if len(near) > 1 else 0.0
+        if x > middle + 3 * spread + LEAST:
+            first.append(i + 1)
+    return first
 
 
 def store(docs: DataFrame) -> DataFrame:

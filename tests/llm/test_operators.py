@@ -127,6 +127,19 @@ def test_shots():
     assert media.shots(np.array([dark] * 10 + [light] * 10)) == [0, 10]
 
 
+@pytest.mark.parametrize("cuts", [[1], [2], [5], [1, 11], [4, 7], [2, 18], [9, 11], [17]])
+@pytest.mark.parametrize("frames", [12, 20])
+def test_shots_in_short_files_near_ends_and_close_together(cuts, frames):
+    import numpy as np
+
+    cuts = [c for c in cuts if c < frames]
+    grey = np.full((frames, 16), 1 / 16) + np.random.default_rng(3).normal(0, 1e-4, (frames, 16))
+    for i, c in enumerate([*cuts]):
+        grey[c:] = np.roll(np.eye(16)[0], 5 * i) + grey[:1] * 0
+    assert media.shots(grey) == [0, *cuts]
+    assert media.shots(grey[:1]) == [0] and media.shots(np.eye(16)[:2]) == [0, 1] and media.shots(np.ones((2, 16)) / 16) == [0]
+
+
 def test_url_rules_and_reputation(spark):
     urls = [None, "no scheme", "HTTP://A.Example.ORG/es/1?x", "http://example.org/en/12#y", "http://example.org", "http://shop.com/de/", "http://shop.com/fr/a", "x://bad.net/p"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(100 + i, f"http://bad.net/{i}") for i in range(60)] + [(300 + i, f"http://good.info/{i}") for i in range(60)], "page_id long, url string")
