@@ -13,17 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2_000_000
+#: Bytes of an Arrow batch, or one row.
+BATCH_BYTES = 16_000_000
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder for tables that cut lineage: ``spark.checkpoint.dir``; a temporary one where it is unset in a local session (tests).
+
+    Tables go to a folder of the application's own there, which can be removed once its results are written.
+    """
+    found, app = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.applicationId
     if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{found.rstrip('/')}/quarry-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="quarry-")
     return _own_dirs[app]
@@ -50,10 +56,11 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(str(target))
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small, and let the workers import what they run."""
+def text_batches(spark: SparkSession) -> None:
+    """Let the workers import what they run, and bound Arrow batches by rows and bytes (always alike, so lazy plans don't depend on the order of calls)."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES):

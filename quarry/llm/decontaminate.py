@@ -129,7 +129,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> D
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "at", "start", "n", "print", "runs"])
 
-    text_batches(spark, 200)
+    text_batches(spark)
     windows = stored(windows.mapInArrow(prints, "doc_id long, at int, start int, n int, print long, runs array<long>"))
     block = lambda b: F.shiftright("print", 8 * b).bitwiseAND(F.lit(255)).cast("int")
     index = items.select("item_id", "n", F.col("print").alias("item_print"), F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block(b).bitwiseXOR(F.lit(v)).alias("value")) for b in range(BLOCKS) for v in [0, *(1 << j for j in range(8))]])).alias("key"))

@@ -6,10 +6,10 @@ back, because a node's budget is bounded by what its children can take: only the
 branch's siblings. The shares are found by filling up in order of capacity / weight, with running sums.
 
 A leaf takes whole epochs and then a prefix of a last one, in an order seeded by epoch and document: documents up to the last
-that fits whole. The prefix sums are taken over 256 ranges of the order first, so a hot leaf spreads over many tasks.
+that fits whole. The prefix sums are taken over 256 ranges of the order first; only the range in which the prefix ends is sorted.
 
 Nulls in the path are a leaf of their own (empty name). Texts without words have no tokens and are never taken. Repeated rows count
-each. A node without weight in the table weighs 1; a weight of 0 or less takes nothing. Sizes are rounded down.
+each; copies with one doc_id are taken together or not at all. Columns of docs named like the result's are read as the path or ignored. A node without weight in the table weighs 1; a weight of 0 or less takes nothing. Sizes are rounded down.
 """
 
 from __future__ import annotations
@@ -62,29 +62,34 @@ def budgets(leaves: DataFrame, path: list[str], weights: dict, budget: int, epoc
     return leaves.join(above, path).select(*path, "size", F.col("budget").alias("share"))
 
 
-def mix(docs: DataFrame, path: list[str] = PATH, weights: dict = WEIGHTS, part: float = PART, epochs: int = EPOCHS, seed: int = SEED, budget: int | None = None) -> DataFrame:
-    """(doc_id, path..., tokens, epochs) of the documents taken at least once, from docs (doc_id, text, path...).
+def mix(docs: DataFrame, path: list[str] = PATH, weights: dict = WEIGHTS, part: float = PART, epochs: int = EPOCHS, seed: int = SEED, budget: int | None = None, whole: bool = False) -> DataFrame:
+    """(doc_id, path..., tokens, epochs) of the documents taken at least once, from docs (doc_id, text, path...); with ``whole`` also the row, as a struct.
 
     epochs: how often the document is taken. budget: tokens in all; without it, ``part`` of the tokens of docs.
     """
     tokens = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", *[F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in path], tokens.alias("tokens")).filter("tokens > 0")
+    rows = docs.select("doc_id", *[F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in path], tokens.alias("tokens"), *[F.struct("*").alias("row")] * whole).filter("tokens > 0")
     rows = stored(rows)
     leaves = stored(rows.groupBy(*path).agg(F.sum("tokens").alias("size")))
     if budget is None:
         budget = int((leaves.agg(F.sum("size")).first()[0] or 0) * part)
     shares = budgets(leaves, path, weights, budget, epochs)
-    shares = shares.select(*path, F.expr("share div size").alias("whole"), F.expr("share % size").alias("rest"))
-    rows = rows.join(shares, path)
+    shares = stored(shares.select(*path, F.expr("share div size").alias("whole"), F.expr("share % size").alias("rest")))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
-    rows = stored(rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 2)))
-    sums = rows.groupBy(*path, "bucket").agg(F.sum("tokens").alias("n"))
+    # the last epoch takes each leaf's documents up to a last one, whose key and id say for every row whether it is taken
+    place = F.struct(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"))
+    keyed = stored(rows.drop("row").join(shares, path).withColumn("place", place).withColumn("bucket", F.substring("place.key", 1, 2)))
+    sums = keyed.groupBy(*path, "bucket").agg(F.sum("tokens").alias("n"), F.max("place").alias("last"), F.first("rest").alias("rest"))
     before = Window.partitionBy(*path).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*path, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inner = Window.partitionBy(*path, "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run", F.sum("tokens").over(inner)).join(sums, [*path, "bucket"])
-    times = F.col("whole") + F.when(F.col("before") + F.col("run") <= F.col("rest"), 1).otherwise(0)
-    return rows.withColumn("epochs", times.cast("long")).filter("epochs > 0").select("doc_id", *path, "tokens", "epochs")
+    sums = stored(sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    # only the bucket in which the prefix ends needs its documents' order
+    inner = Window.partitionBy(*path).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = keyed.drop("rest").join(sums.filter("before <= rest and before + n > rest").select(*path, "bucket", "before", "rest"), [*path, "bucket"])
+    edge = edge.withColumn("end", F.col("before") + F.sum("tokens").over(inner)).filter("end <= rest")
+    last = sums.filter("before + n <= rest").select(*path, "last").unionByName(edge.select(*path, F.col("place").alias("last"))).groupBy(*path).agg(F.max("last").alias("last"))
+    taken = rows.join(shares.join(last, path, "left"), path).withColumn("place", place)
+    times = F.col("whole") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
+    return taken.withColumn("epochs", times.cast("long")).filter("epochs > 0").select("doc_id", *path, "tokens", "epochs", *["row"] * whole)
 
 
 #: The same for the query's tables and parameters, for DuckDB.

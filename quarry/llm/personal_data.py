@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over the other tokens with digits or ``@``.
 
 Patterns give the base spans of email, ip, card and phone (see ``base_spans``). The field's nodes are the tokens of a document
-that hold a digit or ``@``. Tokens that a base span covers are held to its kind; the others get potentials from the shape of
-the token and the word before it, counted against the base spans of a bounded sample. Neighbouring nodes and nodes with
-equal or similar text, however far apart, share potentials that favour equal labels; a token that stands m times has m - 1 such
-links, not all pairs. Loopy sum-product message passing runs ``ROUNDS`` rounds over each document; a token whose best label
-is a kind with probability ``SURE`` adds a span.
+that hold a digit or ``@``; short groups of digits in a row are one token. Tokens that a base span covers are held to its kind. The
+others get potentials from coarse features, which say less than the patterns do (how many digits, the first one of long
+numbers, separators; the word before), so a token that a pattern misses by its form, its check or what stands beside it may
+still look like those that are found. Neighbours, and tokens with equal text or the same last 7 digits however far apart,
+share potentials that favour equal labels; a token that stands m times has m - 1 such links, not all pairs. All potentials
+are fitted on a bounded sample: of features by counts against the base spans, of links by how often linked tokens agree.
+Loopy sum-product message passing runs ``ROUNDS`` rounds over each document; a token whose best label is a kind with
+probability ``SURE`` adds a span.
 
 Null texts are empty. Repeated rows come out as often as they stand; extra columns are ignored. Without any base span in
 the sample the field adds nothing.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -28,15 +32,19 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Fixed patterns.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # within a run of digits nothing else can match
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Rows that the potentials are counted on, in expectation, and classes of features.
 SAMPLE_ROWS, CLASSES = 20_000, 4096
-SKIP, NEXT = 2.5, 0.2
-ROUNDS, SURE = 12, 0.9
-_NODE = re.compile(r"[^\s,;()<>\"']*[0-9@][^\s,;()<>\"']*")
+#: A word before must be seen more often than this to say more than the labels' shares do.
+RARE_WORD = 16
+#: Bounds of what a link of like tokens and of neighbours may weigh.
+SKIP, NEXT = (1.0, 5.0), (0.0, 0.5)
+ROUNDS, SURE = 12, 0.8
+_NODE = re.compile(r"""(?<![\w@.+-])\+?\(?[0-9]{1,6}\)?(?:[ .-]\(?[0-9]{1,6}\)?)+(?![\w@])|[^\s,;()<>"']+""")
+_MARK = re.compile(r"[0-9@]")
 _BEFORE = re.compile(r"(\w+)\W*$")
 
 
@@ -70,7 +78,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start. Matches that fail their check are dropped, without another try."""
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -83,7 +91,19 @@ def _class_of(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % CLASSES
 
 
-_SHAPES = [(re.compile(r"[0-9]{13,19}"), "C"), (re.compile(r"[0-9]{5,}"), "N"), (re.compile(r"[0-9]{1,4}"), "9"), (re.compile(r"[^\W\d_]+"), "a")]
+def shape_of(token: str) -> str:
+    """A coarse feature of a token."""
+    if "@" in token:
+        return "mail." if "." in token.partition("@")[2] else "mail"
+    digits = re.sub(r"[^0-9]", "", token)
+    if len(digits) == len(token):
+        return f"number {len(digits)}" if len(digits) < 13 else f"number {digits[0]}" if len(digits) < 20 else "number"
+    if re.search(r"[^0-9 ().+-]", token):
+        return "letters and digits"
+    parts = re.findall("[0-9]+", token)
+    if 13 <= len(digits) < 20:
+        return f"groups {digits[0]}"
+    return "groups of four" if len(parts) == 4 and max(map(len, parts)) < 4 and "+" not in token else f"groups {len(digits) // 3}"
 
 
 def nodes_of(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, tuple[int, int], int]]:
@@ -94,19 +114,26 @@ def nodes_of(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
         a, b = m.span()
         while b > a and text[b - 1] in ".:!?":
             b -= 1
-        token, shape = text[a:b], text[a:b]
-        for pattern, mark in _SHAPES:
-            shape = pattern.sub(mark, shape)
+        token = text[a:b]
+        if not _MARK.search(token):
+            continue
         word = _BEFORE.search(text, max(0, a - 40), a)
         while s < len(spans) and spans[s][1] <= a:
             s += 1
         label = spans[s][2] if s < len(spans) and spans[s][0] < b else 0
-        out.append((a, b, token, (_class_of("s" + shape[:40]), _class_of("w" + (word.group(1).lower() if word else ""))), label))
+        out.append((a, b, token, (_class_of("s" + shape_of(token)), _class_of("w" + (word.group(1).lower() if word else ""))), label))
     return out
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log potentials [2, CLASSES, labels] of shapes and words before, from a sample of docs (doc_id, text)."""
+@dataclass
+class Field:
+    potentials: np.ndarray  # [shape or word before, CLASSES, labels], logarithms
+    skip: float  # what equal labels win on a link of like tokens, and of neighbours
+    next: float
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
+    """The field's potentials, from a sample of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null")
     dice = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) / 1_000_000
     sample = rows.filter(dice < sample_rows / max(1, rows.count()))
@@ -115,22 +142,30 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     def count(batches):
         for batch in batches:
             keys = []
-            for text in _with_marks(batch):
-                for _, _, _, (shape, word), label in nodes_of(text, base_spans(text)):
+            for i in np.flatnonzero(_marked(batch.column("text"))):
+                text = batch.column("text")[int(i)].as_py()
+                nodes = nodes_of(text, base_spans(text))
+                for _, _, _, (shape, word), label in nodes:
                     keys += [shape * k + label, (CLASSES + word) * k + label]
+                for (i, j), like in _links(nodes).items():
+                    if nodes[i][4] or nodes[j][4]:
+                        keys.append(2 * CLASSES * k + 2 * like + (nodes[i][4] == nodes[j][4]))
             found, n = np.unique(np.array(keys, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    def _with_marks(batch):
-        return [batch.column("text")[int(i)].as_py() for i in np.flatnonzero(_marked(batch.column("text")))]
-
     text_batches(docs.sparkSession)
     sums = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(2 * CLASSES * k)
+    counts = np.zeros(2 * CLASSES * k + 4)
     counts[sums.column("key").to_numpy()] = sums.column("n").to_numpy()
-    counts = counts.reshape(2, CLASSES, k)
+    pairs = counts[2 * CLASSES * k :].reshape(2, 2)
+    near, like = (float(np.clip(np.log((yes + 1) / (no + 1)), *bounds)) for (no, yes), bounds in zip(pairs, (NEXT, SKIP), strict=True))
+    counts = counts[: 2 * CLASSES * k].reshape(2, CLASSES, k)
     prior = counts[0].sum(0) + 0.1
-    return np.log((counts + prior / prior.sum()) / (counts.sum(2, keepdims=True) + 1)) - np.array([0, 0.8])[:, None, None] * np.log(prior / prior.sum())
+    prior /= prior.sum()
+    trust = np.array([1, RARE_WORD])[:, None, None]
+    potentials = np.log((counts + trust * prior) / (counts.sum(2, keepdims=True) + trust))
+    potentials[1] -= np.log(prior)
+    return Field(potentials, like, near)
 
 
 def _marked(column: pa.Array) -> np.ndarray:
@@ -140,34 +175,36 @@ def _marked(column: pa.Array) -> np.ndarray:
     return sums[offsets[1:]] > sums[offsets[:-1]]
 
 
-def _links(nodes: list) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) and their potentials: neighbours, and the next node with equal or similar text."""
-    edges: dict[tuple[int, int], float] = {}
-    for i in range(len(nodes) - 1):
-        if nodes[i + 1][0] - nodes[i][1] <= 2:
-            edges[i, i + 1] = NEXT
-    for key in (lambda t: t.lower(), lambda t: d[:8] if len(d := re.sub(r"\D", "", t)) >= 8 else None):
+def _last_digits(token: str) -> str | None:
+    digits = re.sub(r"[^0-9]", "", token)
+    return digits[-7:] if len(digits) >= 7 else None
+
+
+def _links(nodes: list) -> dict[tuple[int, int], bool]:
+    """Links (i, j): neighbours, and the next node with like text (true)."""
+    links = {(i, i + 1): False for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 2}
+    for key in (str.lower, _last_digits):
         last: dict[str, int] = {}
         for i, node in enumerate(nodes):
             name = key(node[2])
-            if name is None:
-                continue
-            if name in last:
-                edges[last[name], i] = SKIP
-            last[name] = i
-    return np.array(list(edges), np.int64).reshape(-1, 2), np.array(list(edges.values()))
+            if name is not None:
+                if name in last:
+                    links[last[name], i] = True
+                last[name] = i
+    return links
 
 
-def infer(nodes: list, potentials: np.ndarray) -> np.ndarray:
+def infer(nodes: list, field: Field) -> np.ndarray:
     """Label probabilities [nodes, labels] by loopy message passing."""
     k = len(KINDS) + 1
     shapes = np.array([n[3] for n in nodes]).reshape(-1, 2)
-    unary = potentials[0, shapes[:, 0]] + potentials[1, shapes[:, 1]]
+    unary = field.potentials[0, shapes[:, 0]] + field.potentials[1, shapes[:, 1]]
     held = np.array([n[4] for n in nodes])
     unary[held > 0] = -30.0
     unary[held > 0, held[held > 0]] = 0
-    edges, weight = _links(nodes)
-    if len(edges):
+    links = _links(nodes)
+    if links:
+        edges, weight = np.array(list(links)), np.where(list(links.values()), field.skip, field.next)
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         same = np.exp(np.concatenate([weight, weight]))[:, None] - 1
@@ -184,13 +221,13 @@ def infer(nodes: list, potentials: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def all_spans(text: str, potentials: np.ndarray) -> tuple[list, list]:
+def all_spans(text: str, field: Field) -> tuple[list, list]:
     """Base spans, and those that the field adds: nodes clear of base spans with a sure label."""
     base = base_spans(text)
     nodes = nodes_of(text, base)
     added = []
     if any(n[4] == 0 for n in nodes):
-        p = infer(nodes, potentials)
+        p = infer(nodes, field)
         best = p.argmax(1)
         added = [(KINDS[b - 1], n[0], n[1]) for n, b, q in zip(nodes, best.tolist(), p, strict=True) if b and not n[4] and q[b] >= SURE]
     return base, added
@@ -199,9 +236,9 @@ def all_spans(text: str, potentials: np.ndarray) -> tuple[list, list]:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def scan(docs: DataFrame, potentials: np.ndarray) -> DataFrame:
+def scan(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, base, added): arrays of (kind, start, end), in code points, of each row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(potentials)
+    sent = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
         for batch in batches:
