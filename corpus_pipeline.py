@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the one before kept."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
+
+Rows of one doc_id are one document: they stay or go together, and come out as often as they went in. Rows without a doc_id are
+never taken for copies or for leaks. Null and empty texts have no language and go in the first stage; an empty table stays empty. Further columns
+stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -36,10 +41,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents taken for half of the tokens, with their domain and how often each is taken."""
-    taken = mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))))
-    return docs.join(taken.select("doc_id", "domain", "tokens", "epochs"), "doc_id")
+    """The documents taken for half of the tokens, with their domain, tokens and how often each is taken; these replace columns of the same names."""
+    taken = mixing.mix(docs.withColumn("domain", mixing.domain_of(F.col("source"))), whole=True)
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in NEW], *NEW)
+
 
+#: Columns that the last stage adds.
+NEW = ["domain", "tokens", "epochs"]
 
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", identify_language),
