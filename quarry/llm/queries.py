@@ -36,9 +36,9 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the same id are the outcomes of pages; low quality is bad."""
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_reputation.judge(_table(spark, sf_dir, "pages"), labels).drop("bad_lower")
+    """Labels of the same id are the outcomes of pages; low quality or a toxic one is bad."""
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), "toxic").alias("bad"))
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), labels).drop("bad_sure")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op10_secret_scans": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op5_url_filters": url_reputation.ORACLE, "op10_secret_scans": secrets.ORACLE}
