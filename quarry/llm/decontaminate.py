@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A window of a document has as many words as an item. Only windows that share a word shingle with an item, on its diagonal,
-can reach a similarity above zero, so only regions around such shingles are fingerprinted; they are found with a bitmap of
+A window of a document has as many words as an item. Shingles are compared as sets, so an item whose parts stand in another
+order counts as well. Windows are fingerprinted where their shared shingles have weight enough for the similarity: of these, each
+that starts or ends with a shared shingle, for others share no more than one of them. Shared shingles are found with a bitmap of
 ``BITS`` bits of the items' shingles, whose size is fixed. A fingerprint has 64 bits over the words. Split into 8 blocks of
 8 bits, two fingerprints within ``RADIUS`` = 15 bits differ by at most one bit in some block: items are indexed under each
 block's value and its 8 neighbours, windows look up their own. Pairs within the radius are verified by
@@ -9,7 +10,8 @@ weighted shingle similarity: shared over all weight, where a shingle that f of N
 that the item doesn't have ln(1 + N).
 
 Items with fewer words than a shingle are one shingle. Null and empty items and texts match nothing. A document shorter than an item is one window.
-Ties: the first of the best windows of a document and item. Repeated rows give one result; extra columns are ignored.
+Ties: the first of the best windows of a document and item. Repeated rows give one result; of different texts of one item the
+smallest counts, those of one doc_id are all searched. Rows without an id and extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +50,19 @@ def _items(items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(prints, pa.int64()), list_array(signed(flat), [len(r) for r in runs])], ["item_id", "n", "print", "runs"])
 
     text_batches(items.sparkSession)
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, n int, print long, runs array<long>").dropDuplicates(["item_id"])
+    one = items.select(F.col("item_id").cast("long"), "text").groupBy("item_id").agg(F.min("text").alias("text"))
+    return one.mapInArrow(run, "item_id long, n int, print long, runs array<long>")
+
+
+def starts(place: np.ndarray, run: np.ndarray, weight: np.ndarray, n: int, m: int, need: float) -> np.ndarray:
+    """Starts in a region of m words of windows of n words whose distinct shared shingles weigh ``need`` or more.
+
+    place, run, weight: of the shared shingles, by place. Windows start or end with one of them.
+    """
+    size = min(SIZE, n)
+    found = np.unique(np.clip(np.concatenate([place, place + size - n]), 0, max(0, m - n)))
+    lo, hi = np.searchsorted(place, found), np.searchsorted(place, found + n - size, side="right")
+    return np.array([s for s, a, b in zip(found.tolist(), lo, hi, strict=True) if weight[a:b][np.unique(run[a:b], return_index=True)[1]].sum() >= need], np.int64)
 
 
 def _hits(words: np.ndarray, sizes: list[int], bitmap: np.ndarray):
@@ -110,8 +124,26 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> D
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("at").take(rows), pa.array(np.full(len(at), len(words), np.int32)), pa.array(at.astype(np.int32)), pa.array(signed(run))], ["doc_id", "at", "m", "place", "run"])
 
     seeds = found.select("doc_id", "at", "words").mapInArrow(hits, "doc_id long, at int, m int, place int, run long")
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("m") - F.col("n")))
-    windows = seeds.join(runs, "run").select("doc_id", "at", "n", start.alias("start")).distinct()
+    # what a window must share: so much of the item's weight
+    known = stored(runs.select("item_id", "n", "run").distinct().join(weights.select("run", "weight"), "run"))
+    whole = known.groupBy("item_id").agg((F.sum("weight") * similarity - 1e-9).alias("need"))
+    shared = seeds.join(known.join(whole, "item_id"), "run")
+    shared = shared.groupBy("doc_id", "at", "m", "item_id", "n", "need").agg(F.sort_array(F.collect_list(F.struct("place", "run", "weight"))).alias("hits"))
+    shared = shared.filter(F.aggregate("hits", F.lit(0.0), lambda s, x: s + x["weight"]) >= F.col("need"))
+
+    def pick(batches):
+        for batch in batches:
+            lists, out = batch.column("hits"), []
+            flat, cuts = lists.flatten(), np.cumsum(np.asarray(lists.value_lengths()))[:-1]
+            parts = (np.split(flat.field(f).to_numpy(), cuts) for f in ("place", "run", "weight"))
+            for i, (hit, n, m, need) in enumerate(zip(zip(*parts, strict=True), *(batch.column(c).to_pylist() for c in ("n", "m", "need")), strict=True)):
+                at = starts(*hit, n, m, need)
+                out.append((np.full(len(at), i), at))
+            rows = pa.array(np.concatenate([r for r, _ in out]) if out else np.zeros(0, np.int64))
+            at = np.concatenate([a for _, a in out]) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("at").take(rows), batch.column("n").take(rows), pa.array(at.astype(np.int32))], ["doc_id", "at", "n", "start"])
+
+    windows = shared.mapInArrow(pick, "doc_id long, at int, n int, start int").distinct()
     windows = windows.groupBy("doc_id", "at").agg(F.collect_list(F.struct("start", "n")).alias("windows"))  # of one region
     windows = stored(found.join(windows, ["doc_id", "at"]))
 
@@ -137,7 +169,7 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> D
     probes = windows.select("doc_id", "at", "start", "n", "print", F.posexplode(F.array(*[block(b) for b in range(BLOCKS)])).alias("block", "value"))
     near = probes.join(index, ["n", "block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     near = near.select("doc_id", "at", "start", "n", "item_id").distinct()
-    known = runs.join(weights, "run").select("item_id", "run", "weight").distinct().groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "weight"))).alias("weights"))
+    known = known.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("run", "weight"))).alias("weights"))
     pairs = near.join(windows.select("doc_id", "at", "start", "n", "runs"), ["doc_id", "at", "start", "n"]).join(known, "item_id")
     both = F.aggregate("runs", F.lit(0.0), lambda s, x: s + F.coalesce(F.col("weights")[x], F.lit(0.0)))
     other = F.size(F.filter("runs", lambda x: ~F.map_contains_key("weights", x))) * float(np.log(1 + (total or 0)))
