@@ -6,7 +6,8 @@ others get potentials from coarse features, which say less than the patterns do
 numbers, separators; the word before), so a token that a pattern misses by its form, its check or what stands beside it may
 still look like those that are found. Neighbours, and tokens with equal text or the same last 7 digits however far apart,
 share potentials that favour equal labels; a token that stands m times has m - 1 such links, not all pairs. All potentials
-are fitted on a bounded sample: of features by counts against the base spans, of links by how often linked tokens agree.
+are fitted on a bounded sample: of features by counts against the base spans (tokens within a longer match that failed its check, such as
+two numbers side by side, don't count), of links by how often linked tokens agree.
 Loopy sum-product message passing runs ``ROUNDS`` rounds over each document; a token whose best label is a kind with
 probability ``SURE`` adds a span.
 
@@ -87,6 +88,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def merged(text: str, nodes: list) -> list[bool]:
+    """Which nodes lie within a longer match that failed its check: nothing is known of them."""
+    kept = set(base_spans(text))
+    failed = [m.span() for kind, pattern in (("card", CARD), ("phone", PHONE)) for m in pattern.finditer(text) if (kind, *m.span()) not in kept]
+    failed.sort()
+    out, i, reach = [], 0, (0, 0)
+    for a, b, *_ in nodes:
+        while i < len(failed) and failed[i][0] <= a:
+            reach, i = max(reach, failed[i], key=lambda s: s[1]), i + 1
+        out.append(reach[1] >= b and reach != (a, b))
+    return out
+
+
 def _class_of(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % CLASSES
 
@@ -97,12 +111,12 @@ def shape_of(token: str) -> str:
         return "mail." if "." in token.partition("@")[2] else "mail"
     digits = re.sub(r"[^0-9]", "", token)
     if len(digits) == len(token):
-        return f"number {len(digits)}" if len(digits) < 13 else f"number {digits[0]}" if len(digits) < 20 else "number"
+        return f"number {len(digits)}" if len(digits) < 13 else f"card number {digits[0]}" if len(digits) < 20 else "number"
     if re.search(r"[^0-9 ().+-]", token):
         return "letters and digits"
     parts = re.findall("[0-9]+", token)
     if 13 <= len(digits) < 20:
-        return f"groups {digits[0]}"
+        return f"card groups {digits[0]}"
     return "groups of four" if len(parts) == 4 and max(map(len, parts)) < 4 and "+" not in token else f"groups {len(digits) // 3}"
 
 
@@ -145,8 +159,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
             for i in np.flatnonzero(_marked(batch.column("text"))):
                 text = batch.column("text")[int(i)].as_py()
                 nodes = nodes_of(text, base_spans(text))
-                for _, _, _, (shape, word), label in nodes:
-                    keys += [shape * k + label, (CLASSES + word) * k + label]
+                for (_, _, _, (shape, word), label), unknown in zip(nodes, merged(text, nodes), strict=True):
+                    if label or not unknown:
+                        keys += [shape * k + label, (CLASSES + word) * k + label]
                 for (i, j), like in _links(nodes).items():
                     if nodes[i][4] or nodes[j][4]:
                         keys.append(2 * CLASSES * k + 2 * like + (nodes[i][4] == nodes[j][4]))
@@ -162,8 +177,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     counts = counts[: 2 * CLASSES * k].reshape(2, CLASSES, k)
     prior = counts[0].sum(0) + 0.1
     prior /= prior.sum()
-    trust = np.array([1, RARE_WORD])[:, None, None]
-    potentials = np.log((counts + trust * prior) / (counts.sum(2, keepdims=True) + trust))
+    # a shape that was never seen is no kind, a word that was never seen says nothing
+    trust, unseen = np.array([1, RARE_WORD])[:, None, None], np.stack([np.array([0.96, *[0.01] * (k - 1)]), prior])[:, None, :]
+    potentials = np.log((counts + trust * unseen) / (counts.sum(2, keepdims=True) + trust))
     potentials[1] -= np.log(prior)
     return Field(potentials, like, near)
 
