@@ -18,20 +18,29 @@ def _fold_table() -> tuple[str, str]:
     if not _PAIRS:
         for c in map(chr, range(0xC0, 0x180)):
             base = unicodedata.normalize("NFD", c)
-            if len(base) > 1:
+            if len(base) > 1 and len(c.lower()) == 1:
                 _PAIRS.append((c.lower(), base[0].lower()))
     pairs = dict(_PAIRS)
     return "".join(pairs), "".join(pairs.values())
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), *_fold_table())
+    """Lower case without the accents of Latin letters; texts without other bytes than ASCII are only lowered."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *_fold_table()))
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded; ``_`` separates. Null has none."""
-    return F.coalesce(F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.array().cast("array<string>"))
+    """Runs of letters and digits, folded; ``_`` separates. Null has none. Folding is for the tokens that need it, not for whole texts."""
+    low = F.lower(text)
+    plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
+    other = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), fold)
+    return F.coalesce(F.when(F.octet_length(low) == F.length(low), plain).otherwise(other), F.array().cast("array<string>"))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens a text has."""
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).cast("long")
 
 
 def query_words(text: str) -> list[list[str]]:
@@ -43,11 +52,11 @@ def query_words(text: str) -> list[list[str]]:
 
 
 def _terms(word: str) -> list[str]:
+    """The same folding as of texts: Latin letters lose their accents, other scripts keep their marks."""
     import re
-    import unicodedata
 
-    plain = "".join(c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn")
-    return re.findall(r"[^\W_]+", plain)
+    source, target = _fold_table()
+    return re.findall(r"[^\W_]+", word.translate(str.maketrans(source, target)))
 
 
 def query_terms(text: str) -> list[str]:

@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import glob_regex, token_cost, tokens
+from quarry.functions.text import glob_regex, token_cost, token_count, tokens
 
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, columns: list[str], positions: bool = False) -> DataFrame:
-    """(term, row_id, col_id, tf[, positions]) of the text columns of chunks (row_id, columns...)."""
-    parts = F.array(*[F.struct(F.lit(i).alias("col_id"), tokens(F.col(c)).alias("words")) for i, c in enumerate(columns)])
-    rows = chunks.select("row_id", F.explode(parts).alias("part")).select("row_id", "part.col_id", F.posexplode("part.words").alias("pos", "term"))
+#: Distinct query terms that are sent to all tasks; more are joined.
+MANY_TERMS = 200_000
+
+
+def postings(chunks: DataFrame, columns: list[str], positions: bool = False, queries: DataFrame | None = None) -> DataFrame:
+    """(term, row_id, col_id, tf[, positions][, doc_len]) of the text columns of chunks (row_id, columns...).
+
+    With ``queries`` (term, ...) only their terms, with the rows' lengths: other words go before anything is shuffled. The terms are
+    counted first, and sent to all tasks if they are few.
+    """
+    words = F.array(*[tokens(F.col(c)) for c in columns])
+    rows = chunks.select("row_id", words.alias("words"))
+    length = sum(F.size(F.col("words")[i]) for i in range(len(columns))).cast("long")
+    rows = rows.select("row_id", length.alias("doc_len"), F.posexplode("words").alias("col_id", "own")).select("row_id", "doc_len", "col_id", F.posexplode("own").alias("pos", "term"))
     found = [F.count("*").alias("tf")] + [F.array_sort(F.collect_list("pos")).alias("positions")] * positions
-    return rows.groupBy("term", "row_id", "col_id").agg(*found)
+    if queries is None:
+        return rows.groupBy("term", "row_id", "col_id").agg(*found)
+    terms = queries.select("term").distinct()
+    few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
+    rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return rows.groupBy("term", "row_id", "col_id").agg(*found, F.first("doc_len").alias("doc_len"))
 
 
 def lengths(chunks: DataFrame, columns: list[str]) -> DataFrame:
     """(row_id, doc_len): tokens over all indexed columns."""
-    return chunks.select("row_id", sum(F.size(tokens(F.col(c))) for c in columns).cast("long").alias("doc_len"))
+    return chunks.select("row_id", sum(token_count(F.col(c)) for c in columns).cast("long").alias("doc_len"))
 
 
 def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
 
 
+def _corpus(doc_lengths: DataFrame) -> tuple[Column, Column]:
+    """Rows and their mean length as columns: one subquery, which runs with the query that uses it."""
+    stats = corpus_stats(doc_lengths).select(F.struct("n_rows", (F.col("total_tokens") / F.col("n_rows")).alias("average")).alias("s")).scalar()
+    return stats["n_rows"], stats["average"]
+
+
 def matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, pos, row_id, col_id, tf): occurrences of each query word.
 
     A word is a row (query_id, term, pos), or with ``offset`` and ``size`` one of the terms of a phrase, whose terms must
-    stand next to each other in one column; phrases need an index with positions.
+    stand next to each other in one column; phrases need an index with positions. An index with the rows' lengths gives ``doc_len`` as well.
     """
-    plain = index.drop("positions")
+    plain, row = index.drop("positions"), ["query_id", "pos", "row_id", *[c for c in ("doc_len",) if c in index.columns], "col_id"]
     if "size" not in queries.columns:
-        return plain.join(queries, "term").select("query_id", "pos", "row_id", "col_id", "tf")
-    single = plain.join(queries.filter("size = 1"), "term").select("query_id", "pos", "row_id", "col_id", "tf")
-    starts = index.join(queries.filter("size > 1"), "term").select("query_id", "pos", "row_id", "col_id", "size", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
-    whole = starts.groupBy("query_id", "pos", "row_id", "col_id", "size", "start").agg(F.count("*").alias("n")).filter("n = size")
-    return single.unionByName(whole.groupBy("query_id", "pos", "row_id", "col_id").agg(F.count("*").alias("tf")))
+        return plain.join(queries, "term").select(*row, "tf")
+    single = plain.join(queries.filter("size = 1"), "term").select(*row, "tf")
+    starts = index.join(queries.filter("size > 1"), "term").select(*row, "size", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
+    whole = starts.groupBy(*row, "size", "start").agg(F.count("*").alias("n")).filter("n = size")
+    return single.unionByName(whole.groupBy(*row).agg(F.count("*").alias("tf")))
 
 
 def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights: list[float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -47,15 +68,17 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights:
 
     The inverse document frequency is at least 1e-6, and counts rows with the term whatever the weight of its column.
     """
-    n_rows, total = corpus_stats(doc_lengths).first()
-    average = (total / n_rows) if n_rows else 0.0
+    n_rows, average = _corpus(doc_lengths)
     weight = F.lit(1.0)
     if weights:
         weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("col_id") + 1)
-    hits = matches(index, queries).groupBy("query_id", "pos", "row_id").agg(F.sum(weight * F.col("tf")).alias("f"))
+    hits = matches(index, queries)
+    length = [F.first("doc_len").alias("doc_len")] * ("doc_len" in hits.columns)
+    hits = hits.groupBy("query_id", "pos", "row_id").agg(F.sum(weight * F.col("tf")).alias("f"), *length)
     frequency = hits.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(n_rows) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = hits.join(frequency, ["query_id", "pos"]).join(doc_lengths, "row_id")
+    idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    scored = hits.join(frequency, ["query_id", "pos"])
+    scored = scored if length else scored.join(doc_lengths, "row_id")
     part = F.greatest(idf, F.lit(1e-6)) * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("doc_len") / average))
     return scored.groupBy("query_id", "row_id").agg((-F.sum(part)).alias("score"))
 
@@ -130,14 +153,15 @@ def check_weights(weights: list[float], n_columns: int) -> list[float]:
 
 def sweep(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, vectors: dict[str, list[float]], k1: float = K1, b: float = B) -> DataFrame:
     """(config, query_id, row_id, score) of all weight vectors in one pass: a vector adds a sum to the aggregates, not rows to the joins."""
-    n_rows, total = corpus_stats(doc_lengths).first()
-    average = (total / n_rows) if n_rows else 0.0
+    n_rows, average = _corpus(doc_lengths)
     names = list(vectors)
     weights = {name: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.col("col_id") + 1) for name, ws in vectors.items()}
-    hits = index.join(queries, "term").groupBy("query_id", "pos", "term", "row_id").agg(*[F.sum(weights[n] * F.col("tf")).alias(n) for n in names])
+    length = [F.first("doc_len").alias("doc_len")] * ("doc_len" in index.columns)
+    hits = index.join(queries, "term").groupBy("query_id", "pos", "term", "row_id").agg(*[F.sum(weights[n] * F.col("tf")).alias(n) for n in names], *length)
     frequency = hits.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
-    idf = F.log((F.lit(n_rows) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = hits.join(frequency, ["query_id", "pos"]).join(doc_lengths, "row_id")
+    idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    scored = hits.join(frequency, ["query_id", "pos"])
+    scored = scored if length else scored.join(doc_lengths, "row_id")
     norm = k1 * (1 - b + b * F.col("doc_len") / average)
     parts = [(-F.sum(F.greatest(idf, F.lit(1e-6)) * F.col(n) * (k1 + 1) / (F.col(n) + norm))).alias(n) for n in names]
     scores = scored.groupBy("query_id", "row_id").agg(*parts)

@@ -43,8 +43,8 @@ def _rounded(scores: DataFrame) -> DataFrame:
 
 
 def token_stats(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return c.select("row_id", F.size(tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("n_distinct"), token_cost(F.col("text")).alias("cost"))
+    c = chunks(spark, sf_dir).select("row_id", F.transform(F.array(tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("d")))[0].alias("t"), token_cost(F.col("text")).alias("cost"))
+    return c.select("row_id", F.col("t.n").cast("long").alias("n_tokens"), F.col("t.d").cast("long").alias("n_distinct"), "cost")
 
 
 def doc_freq(spark, sf_dir):
@@ -58,7 +58,7 @@ def corpus_stats(spark, sf_dir):
 
 def _ranked(spark, sf_dir, queries, columns, weights, k):
     c = chunks(spark, sf_dir)
-    scores = search.bm25(search.postings(c, columns), search.lengths(c, columns), queries, weights)
+    scores = search.bm25(search.postings(c, columns, queries=queries), search.lengths(c, columns), queries, weights)
     return search.top_k(_rounded(scores), k)
 
 
@@ -151,13 +151,21 @@ def status_by_language(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    """Gold rows of a benchmark item: documents that hold its text. Items are joined on their first word's hash, not crossed."""
-    from quarry.functions.text import tokens as tok
-
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"), F.array_join(F.slice(tok(F.col("text")), 1, 4), " ").alias("key"))
-    words = chunks(spark, sf_dir).select("row_id", "text", tok(F.col("text")).alias("w")).filter(F.size("w") >= 4)
-    keys = words.select("row_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    return keys.join(items, "key").filter(F.contains("text", "item_text")).select("query_id", F.col("row_id").alias("item")).distinct()
+    """Gold rows of a benchmark item: documents that hold its text.
+
+    Rows and items are joined on the item's first four tokens (all, if it has fewer), without texts; the few pairs fetch their
+    texts then. Items without tokens have no gold.
+    """
+    first = lambda words, size: F.array_join(F.slice(words, 1, size), " ")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"), tokens(F.col("text")).alias("w"))
+    items = items.select("query_id", "item_text", F.least(F.size("w"), F.lit(4)).alias("n"), first("w", 4).alias("key")).filter("n > 0")
+    sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most four
+    words = chunks(spark, sf_dir).select("row_id", tokens(F.col("text")).alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    keys = words.select("row_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<string>"))).alias("key"))
+    pairs = keys.join(items, "key").select("query_id", "item_text", "row_id").distinct()
+    texts = chunks(spark, sf_dir).select("row_id", "text")
+    return pairs.join(texts, "row_id").filter(F.contains("text", "item_text")).select("query_id", F.col("row_id").alias("item")).distinct()
 
 
 def ranking_quality(spark, sf_dir):
@@ -196,7 +204,8 @@ GRID = {"default": [10.0, 1.0], "flat": [1.0, 1.0], "name_only": [10.0, 0.0], "b
 def weight_sweep(spark, sf_dir):
     """The five best rows of every benchmark item under each weight vector."""
     c = chunks(spark, sf_dir)
-    scores = _rounded(search.sweep(search.postings(c, COLUMNS), search.lengths(c, COLUMNS), _benchmark_terms(spark, sf_dir), GRID))
+    queries = _benchmark_terms(spark, sf_dir)
+    scores = _rounded(search.sweep(search.postings(c, COLUMNS, queries=queries), search.lengths(c, COLUMNS), queries, GRID))
     order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("config", "query_id", "row_id", "score", "rank")
 
@@ -240,14 +249,15 @@ def phrase_query(spark, sf_dir):
     rows = [(0, t, p, i, len(w)) for p, w in enumerate(query_words(PHRASES)) for i, t in enumerate(w)]
     asked = spark.createDataFrame(rows, "query_id long, term string, pos int, offset int, size int")
     c = chunks(spark, sf_dir)
-    scores = search.bm25(search.postings(c, COLUMNS, positions=True), search.lengths(c, COLUMNS), asked, WEIGHTS)
+    scores = search.bm25(search.postings(c, COLUMNS, positions=True, queries=asked), search.lengths(c, COLUMNS), asked, WEIGHTS)
     return search.top_k(_rounded(scores), 20).select("row_id", "score", "rank")
 
 
 def search_filtered(spark, sf_dir):
     """The 20 best rows of every benchmark item, of these those of French or German files, packed into 4000 tokens."""
     c = chunks(spark, sf_dir)
-    scores = _rounded(search.bm25(search.postings(c, ["text"]), search.lengths(c, ["text"]), _benchmark_terms(spark, sf_dir)))
+    queries = _benchmark_terms(spark, sf_dir)
+    scores = _rounded(search.bm25(search.postings(c, ["text"], queries=queries), search.lengths(c, ["text"]), queries))
     packed, found = search.retrieve(scores, c, 20, 4000, ["/*/fr/**", "de/*.txt"])
     return packed.join(found, "query_id").select("query_id", "row_id", "rank", "tokens", "running", "found")
 

@@ -1,6 +1,7 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 from quarry.functions.text import glob_regex, query_terms
 from quarry.operators import maintain, metrics, search, segment
 
@@ -89,3 +90,15 @@ def test_metrics(spark):
 def test_lines_keep_bytes(spark):
     docs = spark.createDataFrame([(1, "é\nab\r\n\nz")], "row_id long, text string")
     assert [(r.line, r.start_byte, r.end_byte) for r in segment.lines(docs).orderBy("line").collect()] == [(1, 0, 3), (2, 3, 7), (3, 7, 8), (4, 8, 9)]
+
+
+def test_words_fold_alike_in_texts_and_queries(spark):
+    from quarry.functions.text import query_terms, token_count, tokens
+
+    texts = ["Crème BRÛLÉE x1", "한국 국가", "ĵulio Ķazaň ŵelsh ĳs", "plain ascii_words 12", "каша Й", "", "İstanbul", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens(F.col("t")).alias("w"), token_count(F.col("t")).alias("n")).collect()
+    for t, words, n in rows:
+        assert n == len(words)
+        if t and t != "İstanbul":
+            assert query_terms(t.replace("_", " ")) == words
+    assert rows[2].w == ["julio", "kazan", "welsh", "ĳs"]
