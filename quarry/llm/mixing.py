@@ -87,7 +87,8 @@ def mix(docs: DataFrame, path: list[str] = PATH, weights: dict = WEIGHTS, part:
     edge = keyed.drop("rest").join(sums.filter("before <= rest and before + n > rest").select(*path, "bucket", "before", "rest"), [*path, "bucket"])
     edge = edge.withColumn("end", F.col("before") + F.sum("tokens").over(inner)).filter("end <= rest")
     last = sums.filter("before + n <= rest").select(*path, "last").unionByName(edge.select(*path, F.col("place").alias("last"))).groupBy(*path).agg(F.max("last").alias("last"))
-    taken = rows.join(shares.join(last, path, "left"), path).withColumn("place", place)
+    # a row for each leaf, stored: it is sent to all tasks if it is small, else a hot leaf's rows can be dealt anew in the join
+    taken = rows.join(stored(shares.join(last, path, "left")), path).withColumn("place", place)
     times = F.col("whole") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)
     return taken.withColumn("epochs", times.cast("long")).filter("epochs > 0").select("doc_id", *path, "tokens", "epochs", *["row"] * whole)
 
