@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from quarry import config as settings
-from quarry.app import FORMATS, WEIGHTS, Index, Options
+from quarry.app import FORMATS, WEIGHTS, Index, Options, count
 from quarry.operators.search import check_weights
 from quarry.server import Server
 
@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(FORMATS[args.format](packed, asked).first().output, end="" if args.format != "json" else "\n")
         case "status":
             state, languages = index.status()
-            print("\n".join([f"Index: {index.tables.root}", f"  Files:  {state['total_files']}", f"  Chunks: {state['total_chunks']}", *[f"    {r.language}: {r.n_files}" for r in languages.collect()]]))
+            print("\n".join([f"Index: {index.tables.root}", f"  Files:  {count(state, 'total_files')}", f"  Chunks: {count(state, 'total_chunks')}", *[f"    {r.language}: {r.n_files}" for r in languages.collect()]]))
         case "serve":
             for line in Server(index, root).run(sys.stdin):
                 print(line, flush=True)

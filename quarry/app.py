@@ -22,6 +22,12 @@ LISTS = ("imports", "cross_references")
 NO_HASH = "0" * 32
 
 
+def count(state: dict[str, str | None], key: str) -> int:
+    """A counter of the state; 0 if it is missing or no number."""
+    text = (state.get(key) or "").strip()
+    return int(text) if text.isascii() and text.isdigit() else 0
+
+
 @dataclass
 class Options:
     max_tokens: int = 4000
@@ -115,11 +121,12 @@ class Index:
         return self.refresh(self._scan(root, [f"{root.rstrip('/')}/{p}" for p in self.config.index_paths] or [root]), force)
 
     def _scan(self, root: str, places: list[str]) -> DataFrame:
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files.NAMES).load(places)
-        return files.prepare(found, root, self.config.ignore_patterns, self.config.use_default_ignores, self.config.languages)
+        return files.scan(self.spark, root, places, ignore=self.config.ignore_patterns, defaults=self.config.use_default_ignores, languages=self.config.languages)
 
     def update(self, root: str, paths: list[str], force: bool = False, evict: bool = False) -> dict[str, int]:
-        """Refresh some files, relative to ``root``; with ``evict`` those that can't be found go."""
+        """Refresh some files, relative to ``root``; with ``evict`` those that can't be found, or that ignore rules leave out, go."""
+        if files.mounted(self.spark, root):
+            return self._take(self._scan(root, [f"{root.rstrip('/')}/{p}" for p in paths]) if paths else None, paths, force, evict)
         escaped = [f"{root.rstrip('/')}/" + "".join("\\" + c if c in "\\{}[]*?,^" else c for c in p) for p in paths]
         found = None
         for place in escaped:
@@ -130,6 +137,9 @@ class Index:
                     raise
                 continue
             found = one if found is None else found.unionByName(one)
+        return self._take(found, paths, force, evict)
+
+    def _take(self, found: DataFrame | None, paths: list[str], force: bool, evict: bool) -> dict[str, int]:
         if found is None:
             found = self.spark.createDataFrame([], "file_path string, language string, text string, hash string, mtime long, file_size long, error string")
         there = {r.file_path for r in found.select("file_path").collect()}

@@ -36,9 +36,9 @@ def _row(data: bytes, start: int, end: int, name: str, kind: str, parent: str |
 
 
 def by_lines(data: bytes) -> list[dict]:
-    """From each header at column 0 to the next one or the end."""
+    """From each header at column 0 to the next one or the end; nothing without headers."""
     heads = list(_HEADER.finditer(data))
-    ends = [h.start() for h in heads[1:]] + [len(data)]
+    ends = [h.start() for h in heads[1:]] + [len(data)] * bool(heads)
     return [_row(data, h.start(), e, h.group(1).decode(), "class" if h.group().startswith(b"class") else "function", is_heuristic=True) for h, e in zip(heads, ends, strict=True)]
 
 
@@ -198,13 +198,21 @@ def typescript_symbols(data: bytes) -> list[dict]:
 SEGMENTERS = {"python": python_symbols, "go": go_symbols, "typescript": typescript_symbols}
 
 
+def cut(language: str, data: bytes) -> list[dict]:
+    """A file's symbols; one that its reader fails on is cut at lines, so other files go on."""
+    try:
+        return SEGMENTERS.get(language, by_lines)(data)
+    except Exception:  # noqa: BLE001
+        return by_lines(data)
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """The symbols of files (file_path, language, text); a file's rows come in order of their place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [{"file_path": p, "language": k} | r for p, k, t in batch.itertuples(index=False) if t for r in SEGMENTERS.get(k, by_lines)(t.encode())]
+            rows = [{"file_path": p, "language": k} | r for p, k, t in batch.itertuples(index=False) if t for r in cut(k, t.encode())]
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("file_path", "language", "text").mapInPandas(run, SCHEMA)

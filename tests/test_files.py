@@ -120,13 +120,47 @@ def test_scan_symbols_and_hashes(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
         os.utime(tmp_path / name, (1000, 1000))
     rows = {r.file_path: r for r in files.scan(spark, str(tmp_path)).collect()}
-    assert rows.keys() == {"a.py", "sub/m.go", "bad.py"}
+    assert rows.keys() == {"a.py", "sub/m.go", "bad.py", "empty.ts"} and rows["empty.ts"].text == "" and rows["empty.ts"].error is None
     assert rows["bad.py"].error == "not UTF-8" and rows["bad.py"].text is None and rows["a.py"].error is None
     assert rows["a.py"].hash == xxhash.xxh3_128_hexdigest(PY + (1000).to_bytes(8, "little")) and rows["a.py"].language == "python"
     found = code.symbols(files.scan(spark, str(tmp_path))).groupBy("file_path").count().collect()
     assert {tuple(r) for r in found} == {("a.py", 4), ("sub/m.go", 6)}
 
 
+TREE = {
+    ".gitignore": "*.go\n!keep.go\n/out/\n# x\n\\#odd.py\ntrail.py  \n", "pkg/.gitignore": "gen_*\n!up.go\ndeep/**/z.py\n", "pkg/.ignore": "!gen_back.py\n",
+    "pkg/__init__.py": "", "_own.py": "x", ".hidden.py": "x", ".cfg/a.py": "x", "a.go": "x", "keep.go": "x", "pkg/up.go": "x", "pkg/sub/b.go": "x",
+    "out/a.py": "x", "pkg/out/a.py": "x", "#odd.py": "x", "trail.py": "x", "pkg/gen_a.py": "x", "pkg/gen_back.py": "x", "gen_a.py": "x", "pkg/deep/p/q/z.py": "x", "pkg/deep/z.py": "x",
+    "other/.gitignore": "*\n!*.ts\n", "other/a.ts": "x", "other/b.py": "x", "other/sub/a.ts": "x", "pkg/sub/\u00e9 x.ts": "x", "env/a.py": "x",
+}
+
+
+def _tree(root):
+    for name, text in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+@pytest.mark.parametrize("spread", [1, 3, 64])
+def test_scan_obeys_ignore_files_of_the_tree(spark, tmp_path, monkeypatch, spread):
+    """Which files a tree's own rules leave out; an ignored folder hides what is below it, also from ``!``."""
+    monkeypatch.setattr(files, "SPREAD", spread)
+    _tree(tmp_path)
+    (tmp_path / "link.py").symlink_to(tmp_path / "_own.py")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    found = sorted(r.file_path for r in files.scan(spark, str(tmp_path)).collect())
+    assert found == sorted(["pkg/__init__.py", "_own.py", "keep.go", "pkg/up.go", "pkg/out/a.py", "pkg/gen_back.py", "gen_a.py", "other/a.ts", "pkg/sub/\u00e9 x.ts"])
+    part = sorted(r.file_path for r in files.scan(spark, f"file:{tmp_path}", [f"{tmp_path}/pkg/sub", f"{tmp_path}/a.go", f"{tmp_path}/none"], defaults=False).collect())
+    assert part == ["pkg/sub/\u00e9 x.ts"]
+
+
+def test_files_that_cannot_be_read_or_cut(spark, tmp_path, monkeypatch):
+    rows = files.read(spark.createDataFrame([(f"{tmp_path}/gone.py", 5)], "path string, length long").withColumn("modificationTime", F.timestamp_seconds(F.lit(1000))))
+    assert files.prepare(rows, str(tmp_path)).select("file_path", "text", "hash", "mtime", "error").collect() == [("gone.py", None, None, 1000, "can't be read")]
+    monkeypatch.setitem(code.SEGMENTERS, "go", lambda data: 1 / 0)
+    assert _names(code.cut("go", b"def a\n")) == [("a", "function", None)] and code.cut("go", b"") == [] and code.cut("python", b"x = (\n") == []
+
+
 def test_refresh_replaces_changed_and_keeps_failed(spark, tmp_path):
     for name in ("same", "edit", "gone", "fail"):
         (tmp_path / f"{name}.py").write_text(f"def {name}(): pass\n")
