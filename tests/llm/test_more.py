@@ -314,6 +314,18 @@ def test_recall_by_identity(spark, length, edits):
     assert found >= 0.9 * 60 and all(d // 2 == p // 2 for d, p in got)
 
 
+def test_repeats_do_not_depend_on_the_order_of_rows(spark):
+    """A line that stands at many places of several documents: its places are paired in order, however rows are dealt."""
+    line, rest = [f"l{i}" for i in range(14)], lambda s, n: [f"{s}{i}" for i in range(n)]
+    texts = [" ".join(sum(([*line, *rest(f"{c}{j}x", 3 + j)] for j in range(n)), [])) for c, n in (("a", 9), ("b", 7), ("c", 12), ("d", 1))]
+    docs = docs_of(spark, texts, first=1)
+    want = sorted(map(tuple, repeats.find(docs.coalesce(1)).collect()))
+    assert want and all(sorted(map(tuple, repeats.find(docs.orderBy(F.desc("doc_id")).repartition(n)).collect())) == want for n in (2, 5))
+    rows = [(1, 7, at, 3, 0, 1) for at in (40, 5, 300)]
+    for order in (rows, rows[::-1]):
+        assert repeats._places(spark.createDataFrame(order, "doc_id long, seed long, at int, times int, beside long, first long")).first().places == [5, 40, 300]
+
+
 def test_repeats_of_odd_tables(spark):
     _, words = unlike(8)
     p = " ".join(words(60))
