@@ -69,6 +69,11 @@ def token_cost(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
+def character_cost(text: Column) -> Column:
+    """Estimated tokens of a text by its characters: a quarter of them, at least one."""
+    return F.greatest(F.lit(1), F.floor(F.char_length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
+
+
 def glob_regex(pattern: str) -> str:
     """A regular expression for a path glob: ``*`` and ``?`` stop at ``/``, ``**`` does not; relative patterns match at any depth."""
     import re

@@ -51,13 +51,19 @@ def as_locators(results: DataFrame, queries: DataFrame) -> DataFrame:
     return _joined(results, queries, block, "").select("query_id", F.col("body").alias("output"))
 
 
+def under(file_path: Column, path: str) -> Column:
+    """Whether a file is ``path``, or lies below it; below it A to Z count alike in either case."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return (file_path == path) | lower(file_path).startswith(lower(F.lit(path.rstrip("/") + "/")))
+
+
 def outline(symbols: DataFrame, path: str, max_tokens: int = 2000) -> DataFrame:
     """(line_no, line) of an outline of symbols below ``path``: two head lines, then symbols while a quarter of the bytes fits the budget.
 
     A line has four bytes at least, so no more than ``max_tokens`` of the first symbols can fit: they are taken
     by a distributed top-k before the running sum. The head counts all symbols.
     """
-    own = symbols.filter((F.col("file_path") == path) | F.col("file_path").startswith(path.rstrip("/") + "/"))
+    own = symbols.filter(under(F.col("file_path"), path))
     order = ["file_path", "start_line", "end_line", "symbol_name"]
     top = own.orderBy(*order).limit(max_tokens + 1).withColumn("n", F.row_number().over(Window.orderBy(*order)))
     line = F.format_string("[%d] %s (%s) %s:%d-%d", "n", qualified(F.col("parent_symbol"), F.col("symbol_name")), "symbol_type", "file_path", "start_line", "end_line")

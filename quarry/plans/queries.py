@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import query_terms, query_words, token_cost, tokens
+from quarry.functions.text import character_cost, query_terms, query_words, token_cost, tokens
 from quarry.functions.hashes import content_hash
 from quarry.operators import formats, maintain, metrics, search, segment
 from quarry.sources import records
@@ -47,6 +47,11 @@ def token_stats(spark, sf_dir):
     return c.select("row_id", F.col("t.n").cast("long").alias("n_tokens"), F.col("t.d").cast("long").alias("n_distinct"), "cost")
 
 
+def character_costs(spark, sf_dir):
+    """Estimated tokens of documents by characters and by bytes."""
+    return chunks(spark, sf_dir).select("row_id", character_cost(F.col("text")).alias("by_characters"), token_cost(F.col("text")).alias("by_bytes"))
+
+
 def doc_freq(spark, sf_dir):
     index = search.postings(chunks(spark, sf_dir), ["text"])
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -100,7 +105,7 @@ def glob_filter(spark, sf_dir):
 
 def path_outline(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    return c.filter((F.col("file_path") == "/src1") | F.col("file_path").startswith("/src1/")).select("file_path", "symbol_name", "start_byte", "end_byte")
+    return c.filter(formats.under(F.col("file_path"), "/src1")).select("file_path", "symbol_name", "start_byte", "end_byte")
 
 
 def budget_pack(spark, sf_dir):
@@ -354,7 +359,7 @@ def ablation_report(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        token_stats, doc_freq, corpus_stats, bm25_topk, bm25_weighted, bm25_batch, phrase_match, glob_filter, path_outline, budget_pack, overlap_dedup, change_detect,
+        token_stats, character_costs, doc_freq, corpus_stats, bm25_topk, bm25_weighted, bm25_batch, phrase_match, glob_filter, path_outline, budget_pack, overlap_dedup, change_detect,
         reconcile_deletes, upsert_merge, status_by_language, ranking_quality, turns_to_coverage, offset_synthesis, line_segments, locator_format, weight_sweep, text_format, json_format, locator_lists, outline_budget, content_hashes,
         phrase_query, search_filtered, benchmark_records, task_selection, size_segments, chunk_places, file_texts, surfaced_lists, trajectory_quality, macro_quality, weighted_arms,
         ingest_totals, ablation_report,
@@ -367,6 +372,7 @@ e AS (SELECT row_id, CAST(line AS INTEGER) AS line, line_text, CAST(sum(strlen(l
 lines AS (SELECT row_id, line, line_text, CAST(end_byte - strlen(line_text) AS BIGINT) AS start_byte, end_byte FROM e)"""
 ORACLES = {
     "token_stats": f"{CHUNKS} SELECT row_id, CAST(len({_T}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_T})) AS BIGINT) AS n_distinct, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS cost FROM chunks",
+    "character_costs": f"{CHUNKS} SELECT row_id, CAST(greatest(1, length(coalesce(text, '')) // 4) AS BIGINT) AS by_characters, CAST(greatest(1, strlen(coalesce(text, '')) // 4) AS BIGINT) AS by_bytes FROM chunks",
     "doc_freq": f"WITH t AS (SELECT doc_id, unnest({_T}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term",
     "corpus_stats": f"{CHUNKS} SELECT count(*) AS n_rows, CAST(sum(len({TOK.format('symbol_name')}) + len({_T})) AS BIGINT) AS total_tokens FROM chunks",
     "bm25_topk": _bm25_sql(_ONE, ["text"], [1.0], 20, "row_id, score, rank"),

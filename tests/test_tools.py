@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from quarry.__main__ import main
 from quarry.app import Index
 from quarry.operators import formats, metrics, segment
@@ -77,3 +78,9 @@ def test_report_and_segments(spark):
     chunks = spark.createDataFrame([("c", "f", 1, "b\nc"), ("c", "f", 0, "é\n"), ("c", "g", 2, "")], "corpus_id string, file_path string, place int, chunk_text string")
     assert [(r.start_byte, r.end_byte, r.start_line, r.end_line) for r in segment.places(chunks).filter("file_path = 'f'").orderBy("place").collect()] == [(0, 3, 1, 1), (3, 6, 2, 3)]
     assert {r.file_path: r.text for r in segment.join_files(chunks).collect()} == {"f": "é\nb\nc", "g": ""}
+
+
+def test_outline_takes_folders_in_either_case(spark):
+    columns = spark.createDataFrame([("Src/a.py",), ("src/b.py",), ("SRC",), ("src",), ("srcs/c.py",)], "file_path string")
+    found = columns.filter(formats.under(F.col("file_path"), "src"))
+    assert {r.file_path for r in found.collect()} == {"Src/a.py", "src/b.py", "src"}
