@@ -380,7 +380,7 @@ ORACLES = {
     "bm25_batch": _bm25_sql(_MANY, ["text"], [1.0], 5, "query_id, row_id, score, rank"),
     "phrase_match": f"{CHUNKS}, w AS (SELECT row_id, unnest({_T}) AS term, generate_subscripts({_T}, 1) AS pos FROM chunks) SELECT a.row_id, count(*) AS n FROM w a JOIN w b ON a.row_id = b.row_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.row_id",
     "glob_filter": CHUNKS + " SELECT row_id, file_path FROM chunks WHERE file_path LIKE '/src1/%' OR (lang = 'fr' AND file_path LIKE '%5.txt')",
-    "path_outline": CHUNKS + " SELECT file_path, symbol_name, CAST(0 AS BIGINT) AS start_byte, end_byte FROM chunks WHERE file_path = '/src1' OR starts_with(file_path, '/src1/')",
+    "path_outline": CHUNKS + " SELECT file_path, symbol_name, CAST(0 AS BIGINT) AS start_byte, end_byte FROM chunks WHERE file_path = '/src1' OR starts_with(lower(file_path), '/src1/')",
     "budget_pack": _bm25_sql(_MANY, ["text"], [1.0], 20, "query_id, row_id, rank") .replace("SELECT query_id, row_id, rank FROM r WHERE rank <= 20", """, x AS (SELECT query_id, r.row_id, rank, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS tokens FROM r JOIN chunks ON r.row_id = chunks.row_id WHERE rank <= 20),
 y AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS running FROM x) SELECT * FROM y WHERE running <= 4000"""),
     "change_detect": SNAPSHOTS + " SELECT n.file_path, n.hash FROM n LEFT JOIN o ON n.file_path = o.file_path WHERE n.hash IS NULL OR o.hash IS NULL OR n.hash <> o.hash",
