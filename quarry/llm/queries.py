@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, media, mixing, ngram_join, personal_data, repeats, secrets, tool_calls, url_reputation
+from . import decontaminate, fill_middle, language_id, media, mixing, ngram_join, personal_data, repeats, runs, secrets, tool_calls, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(runs.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,7 +83,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_chat_formatting,
         op10_secret_scans,
+        op11_periodic_runs,
+        op13_fill_middle,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op5_url_filters": url_reputation.ORACLE, "op10_secret_scans": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op5_url_filters": url_reputation.ORACLE, "op10_secret_scans": secrets.ORACLE, "op11_periodic_runs": runs.ORACLE, "op13_fill_middle": fill_middle.ORACLE}
