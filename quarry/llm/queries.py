@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_middle, language_id, media, mixing, ngram_join, personal_data, repeats, runs, secrets, tool_calls, url_reputation
+from . import decontaminate, fill_middle, language_id, line_quality, media, mixing, ngram_join, personal_data, repeats, runs, secrets, tool_calls, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find(runs.planted(_table(spark, sf_dir, "documents"))))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = line_quality.train_on_rest(docs, _table(spark, sf_dir, "labels"))
+    return line_quality.judge(docs, field).select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_lines", "n_bad")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES = {
         op9_chat_formatting,
         op10_secret_scans,
         op11_periodic_runs,
+        op12_quality_classifier,
         op13_fill_middle,
     )
 }
