@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +13,19 @@ from pyspark.sql import functions as F
 
 from quarry.config import Config
 from quarry.functions.text import query_words, tokens
-from quarry.operators import code, formats, maintain, search
+from quarry.operators import blocks, code, formats, maintain, search
 from quarry.sources import files, records
-from quarry.sources.tables import FILES, SCHEMAS, StoreError, Tables
+from quarry.sources.tables import ConflictError, Segment, StoreError, Tables, Version
 
 #: Indexed columns and their weights (fixed values).
 WEIGHTS = {"symbol_name": 10.0, "symbol_type": 1.0, "chunk_text": 1.0, "parent_symbol": 5.0, "imports": 2.0, "cross_references": 2.0, "file_docstring": 2.0}
 LISTS = ("imports", "cross_references")
 #: The hash of files that were never on a disk (fixed value).
 NO_HASH = "0" * 32
+#: Segments that are merged at least, and how many times larger the next may be to be merged with them.
+FAN = 4
+#: Terms, or rows of results, that a filter of a scan takes.
+MANY = 10_000
 
 
 def count(state: dict[str, str | None], key: str) -> int:
@@ -58,30 +64,99 @@ class Index:
             raise StoreError(f"no index at {self.tables.root}")
         return found
 
+    def latest(self) -> Version:
+        return self.tables.at(self.version)
+
     def create(self) -> None:
-        """Empty tables, unless there is an index."""
+        """The first version, without rows, unless there is an index."""
         if self.tables.version() is None:
-            for name in ("chunks", "postings", "files"):
-                self.tables.write(name, self.spark.createDataFrame([], SCHEMAS[name]), 1)
-            self._publish(1, {"version": self.config.version, "created_at": None, "last_full_index": "", "total_files": "0", "total_chunks": "0", "next_row": "1"})
+            state = {"version": self.config.version, "created_at": str(int(time.time())), "last_full_index": "", "total_files": "0", "total_chunks": "0"}
+            self.tables.publish(Version(number=1, state=state))
 
-    def state(self) -> dict[str, str]:
-        return {r.key: r.value for r in self.tables.current("state", self.version).collect()}
+    def state(self) -> dict[str, str | None]:
+        return self.latest().state
 
-    def _publish(self, version: int, state: dict[str, str | None]) -> None:
-        rows = self.spark.createDataFrame(list(state.items()), SCHEMAS["state"]).coalesce(1)
-        self.tables.write("state", rows.withColumn("value", F.coalesce("value", F.unix_timestamp().cast("string"))), version)
+    def files(self) -> DataFrame:
+        """The table of files of the newest version."""
+        return self.tables.files(self.latest())
 
-    def _write_chunks(self, rows: DataFrame, version: int, first: int) -> DataFrame:
-        """Write chunks (with ``place``, their order in a file) and postings; give them as read back."""
+    def _write_rows(self, rows: DataFrame, segment: str, first: int) -> tuple[DataFrame, DataFrame]:
+        """Write chunks (with ``place``, their order in a file) and their postings; give both as read back."""
         order = ["file_path", *(["place"] if "place" in rows.columns else ["start_byte", "end_byte"])]
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_id", F.monotonically_increasing_id() + first)
         lengths = [F.size(tokens(F.array_join(c, "\n") if c in LISTS else F.col(c))) for c in WEIGHTS]
-        rows = rows.withColumn("doc_len", sum(lengths).cast("long"))
-        self.tables.write("chunks", rows.select(*[c.split()[0] for c in SCHEMAS["chunks"].split(", ")]), version)
-        written = self.tables.read("chunks").filter(F.col("version") == version)
-        self.tables.write("postings", search.postings(indexed(written), list(WEIGHTS), positions=True).repartitionByRange("term").sortWithinPartitions("term"), version)
-        return written
+        written = self.tables.write("chunks", rows.withColumn("doc_len", sum(lengths).cast("long")), segment)
+        return written, self.tables.write("postings", blocks.sort(blocks.postings(indexed(written), list(WEIGHTS))), segment)
+
+    def _commit(self, base: Version, rows: DataFrame, gone: DataFrame | None, files: Callable[[DataFrame, int], DataFrame], totals: Callable[[DataFrame], dict[str, str]]) -> dict[str, int]:
+        """One new version of ``base``: chunks come, those of the files ``gone`` (file_path) go; {n_files, n_chunks} that came.
+
+        Only the rows that come and go are read: totals and document frequencies change by theirs. ``files`` makes the new table of files from
+        the chunks that came and the new number; ``totals`` counts it. A compaction published meanwhile is taken in; other rows published meanwhile are a conflict.
+        """
+        segment = uuid.uuid4().hex
+        written, postings = self._write_rows(rows, segment, base.next_row)
+        came = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens"), F.max("row_id").alias("top"), F.countDistinct("file_path").alias("files")).first()
+        changes, went, has = blocks.frequencies(postings), None, ["chunks", "postings", "terms"] * (came.n > 0)
+        if gone is not None:
+            old = self.tables.chunks(base).join(gone, "file_path", "left_semi").persist()
+            went = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens")).first()
+            if went.n:
+                changes = changes.unionByName(blocks.frequencies(blocks.postings(indexed(old), list(WEIGHTS)), -1))
+                self.tables.write("deleted", blocks.bitmaps(old), segment)
+                has = [*dict.fromkeys([*has, "terms", "deleted"])]
+        if has:
+            sums = changes.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+            self.tables.write("terms", sums.repartitionByRange("term").sortWithinPartitions("term"), segment)
+        if gone is not None:
+            old.unpersist()
+        state = totals(self.tables.write("files", files(written, base.number + 1), segment))
+        lost = went.n if went else 0
+        version = replace(base, changes=base.changes + 1, files=segment, n_rows=base.n_rows + came.n - lost, n_tokens=base.n_tokens + came.tokens - (went.tokens if went else 0), state=base.state | state)
+        version.next_row = base.next_row if came.top is None else came.top + 1
+        own = [Segment(segment, base.next_row, version.next_row - 1, came.n, has)] if has else []
+        while True:
+            last = self.latest()
+            if last.changes != base.changes:
+                raise ConflictError("another writer has changed the index: run this again")
+            if self.tables.publish(replace(version, number=last.number + 1, segments=last.segments + own)):
+                self.compact()
+                return {"n_files": came.files, "n_chunks": came.n}
+
+    def compact(self, whole: bool = False) -> bool:
+        """Merge the newest segments into one, as many as are about alike in size, if these are ``FAN`` at least; with ``whole`` all segments.
+
+        A segment is merged again only when the newer ones have grown to a ``FAN``-th of it, so each row is rewritten a logarithmic number of times. Deleted rows go; bitmaps stay
+        only for rows of older segments. False if there is nothing to merge, or if another compaction was faster.
+        """
+        base = self.latest()
+        parts, size = [], 0
+        for s in reversed(base.segments):
+            if not whole and parts and s.n_rows > FAN * max(size, 1):
+                break
+            parts, size = [s, *parts], size + s.n_rows
+        if not parts or len(parts) < (1 if whole else FAN) or (len(parts) == 1 and "deleted" not in parts[0].tables):
+            return False
+        some, segment = replace(base, segments=parts), uuid.uuid4().hex
+        deleted, first = self.tables.deleted(some), parts[0].first
+        rows = self.tables.chunks(some).repartitionByRange("row_id").sortWithinPartitions("row_id")
+        n = self.tables.write("chunks", rows, segment).count()
+        self.tables.write("postings", blocks.sort(blocks.merge(self.tables.rows("postings", some), deleted)), segment)
+        sums = self.tables.rows("terms", some).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        self.tables.write("terms", sums.repartitionByRange("term").sortWithinPartitions("term"), segment)
+        has = ["chunks", "postings", "terms"]
+        if deleted is not None and first > base.segments[0].first:
+            older = deleted.filter((F.col("bucket") - 1) * 32768 < first).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+            self.tables.write("deleted", older, segment)
+            has.append("deleted")
+        merged = Segment(segment, first, parts[-1].last, n, has)
+        while True:
+            last = self.latest()
+            at = next((i for i in range(len(last.segments)) if last.segments[i : i + len(parts)] == parts), None)
+            if at is None:
+                return False
+            if self.tables.publish(replace(last, number=last.number + 1, segments=[*last.segments[:at], merged, *last.segments[at + len(parts) :]])):
+                return True
 
     def refresh(self, found: DataFrame, force: bool = False, complete: bool = True, drop: list[str] | None = None) -> dict[str, int]:
         """Take in a scan ``found`` as one new version; {n_files, n_chunks, n_failed} of this run.
@@ -89,32 +164,55 @@ class Index:
         Only changed files are cut anew, all with ``force``. A file with an error keeps its rows and isn't counted as done. Stored
         files that weren't found go if the scan is ``complete``, those in ``drop`` always.
         """
-        old, state = self.version, self.state()
-        new = old + 1
-        stored = self.tables.current("files", old)
+        base = self.latest()
+        stored = self.tables.files(base)
         facts = found.select("file_path", "hash", "mtime", "file_size", "language", "error").dropDuplicates(["file_path"]).persist()
         news = facts if force else maintain.changed(facts, stored.select("file_path", "hash"))
         good = news.filter("error is null")
         # the facts are settled before the texts are read: a file that changes meanwhile differs at the next run
         facts.count()
         texts = found.select("file_path", "language", "text").filter("text is not null").dropDuplicates(["file_path"]).join(good.select("file_path"), "file_path", "left_semi")
-        written = self._write_chunks(code.symbols(texts), new, int(state["next_row"]))
-        counts = written.groupBy("file_path").agg(F.count("*").alias("chunk_count"))
-        meta = good.join(counts, "file_path", "left").withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)).cast("long"), "indexed_at": F.unix_timestamp(), "since": F.lit(new)})
         kept = maintain.gone_less(stored, facts, complete, drop)
-        columns = [c.split()[0] for c in FILES.split(", ")]
-        self.tables.write("files", maintain.merge(kept, meta.select(columns)), new)
+        gone = stored.join(kept, "file_path", "left_anti").select("file_path").unionByName(good.select("file_path")).distinct()
+
+        def files(written: DataFrame, number: int) -> DataFrame:
+            counts = written.groupBy("file_path").agg(F.count("*").alias("chunk_count"))
+            meta = good.join(counts, "file_path", "left").withColumns({"chunk_count": F.coalesce("chunk_count", F.lit(0)).cast("long"), "indexed_at": F.unix_timestamp(), "since": F.lit(number)})
+            return maintain.merge(kept, meta.select(kept.columns))
+
+        done: dict[str, int] = {}
+
+        def totals(rows: DataFrame) -> dict[str, str]:
+            own = F.col("since") == base.number + 1
+            t = rows.agg(F.count("*").alias("f"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("c"), F.count(F.when(own, 1)).alias("n")).first()
+            done["n_files"] = t.n
+            return {"total_files": str(t.f), "total_chunks": str(t.c)}
+
+        n_chunks = self._commit(base, code.symbols(texts), gone, files, totals)["n_chunks"]
         n_failed = news.filter("error is not null").count()
         facts.unpersist()
-        return {**self._restamp(new, state, written), "n_failed": n_failed}
+        return {"n_files": done["n_files"], "n_chunks": n_chunks, "n_failed": n_failed}
+
+    def put(self, rows: DataFrame, drop: DataFrame | None = None) -> dict[str, int]:
+        """Chunks (with or without ``place``) take the place of all chunks of their files, and the files ``drop`` (file_path) go; {n_files, n_chunks} that came."""
+        paths = rows.select("file_path").distinct()
+        return self._append(rows, paths if drop is None else paths.unionByName(drop.select("file_path")).distinct())
+
+    def _append(self, rows: DataFrame, gone: DataFrame | None) -> dict[str, int]:
+        base = self.latest()
+        stored = self.tables.files(base)
+
+        def files(written: DataFrame, number: int) -> DataFrame:
+            counts = written.groupBy("file_path").agg(F.min_by("language", "row_id").alias("language"), F.count("*").alias("chunk_count"))
+            zero = F.lit(0).cast("long")
+            meta = counts.select("file_path", F.lit(NO_HASH).alias("hash"), zero.alias("mtime"), zero.alias("file_size"), "language", "chunk_count", F.unix_timestamp().alias("indexed_at"), F.lit(number).alias("since"))
+            return maintain.merge(stored if gone is None else stored.join(gone, "file_path", "left_anti"), meta)
 
-    def _restamp(self, version: int, state: dict[str, str], written: DataFrame) -> dict[str, int]:
-        own = F.col("since") == version
-        totals = self.tables.current("files", version).agg(F.count("*").alias("f"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("c"), F.count(F.when(own, 1)).alias("nf"), F.coalesce(F.sum(F.when(own, F.col("chunk_count"))), F.lit(0)).alias("nc")).first()
-        top = written.agg(F.max("row_id")).first()[0]
-        following = state["next_row"] if top is None else str(top + 1)
-        self._publish(version, state | {"total_files": str(totals.f), "total_chunks": str(totals.c), "next_row": following})
-        return {"n_files": totals.nf, "n_chunks": totals.nc}
+        def totals(rows: DataFrame) -> dict[str, str]:
+            t = (rows.filter(F.col("since") == base.number + 1) if gone is None else rows).agg(F.count("*").alias("f"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("c")).first()
+            return {"total_files": str(t.f), "total_chunks": str(t.c)}
+
+        return self._commit(base, rows, gone, files, totals)
 
     def index(self, root: str, force: bool = False) -> dict[str, int]:
         """Refresh from all files below ``root`` or the configured folders in it."""
@@ -147,53 +245,51 @@ class Index:
 
     def ingest(self, path: str) -> dict[str, int]:
         """Append the chunks of a JSON file; totals become those of this file. Chunks of files that are known stay."""
-        rows = records.read_chunks(self.spark, path)
-        old, state = self.version, self.state()
-        new = old + 1
-        written = self._write_chunks(rows, new, int(state["next_row"]))
-        counts = written.groupBy("file_path").agg(F.min_by("language", "row_id").alias("language"), F.count("*").alias("chunk_count"))
-        stored = self.tables.current("files", old)
-        since = stored.select("file_path", F.col("since").alias("before"))
-        meta = counts.join(since, "file_path", "left").select("file_path", F.lit(NO_HASH).alias("hash"), F.lit(0).cast("long").alias("mtime"), F.lit(0).cast("long").alias("file_size"), "language", "chunk_count", F.unix_timestamp().alias("indexed_at"), F.coalesce("before", F.lit(new)).alias("since"))
-        self.tables.write("files", maintain.merge(stored, meta), new)
-        done = written.agg(F.countDistinct("file_path").alias("f"), F.count("*").alias("c")).first()
-        state |= {"total_files": str(done.f), "total_chunks": str(done.c)}
-        top = written.agg(F.max("row_id")).first()[0]
-        self._publish(new, state | ({} if top is None else {"next_row": str(top + 1)}))
-        return {"n_files": done.f, "n_chunks": done.c}
+        return self._append(records.read_chunks(self.spark, path), None)
+
+    def rank(self, words: DataFrame, k: int, weights: list[float] | None = None, terms: list[str] | None = None, phrases: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(scores, work) of the k best rows for words (query_id, term, pos, offset, size), as in ``blocks.top``; ``terms``: theirs, if they are known and few."""
+        weights = search.check_weights(weights or list(WEIGHTS.values()), len(WEIGHTS))
+        return blocks.top(self.tables.corpus(self.latest(), terms), words, weights, k, phrases)
 
     def search(self, texts: dict[int, str], options: Options | None = None) -> tuple[DataFrame, DataFrame]:
-        """(packed results, queries (query_id, query, found)) of one query or many."""
-        options, version = options or Options(), self.version
+        """(packed results, queries (query_id, query, found)) of one query or many.
+
+        No chunk is read before the best rows are known. Of a few queries these come to the driver, at most ``max_results`` each, so that the
+        scan of the chunks skips all other row groups.
+        """
+        options, version = options or Options(), self.latest()
         weights = search.check_weights(options.weights or list(WEIGHTS.values()), len(WEIGHTS))
-        chunks = self.tables.chunks(version)
-        lengths = chunks.select("row_id", "doc_len")
-        queries = query_table(self.spark, texts)
-        terms = sorted({t for text in texts.values() for word in query_words(text) for t in word})
-        live = self.tables.postings(version, terms).join(lengths, "row_id", "left_semi")
-        scores = search.bm25(live, lengths, queries, weights)
-        packed, found = search.retrieve(scores, chunks, options.max_results, options.max_tokens, options.file_filter, "chunk_text")
+        words = {q: query_words(text) for q, text in texts.items()}
+        terms = sorted({t for ws in words.values() for w in ws for t in w})
+        found, _ = blocks.top(self.tables.corpus(version, terms if len(terms) <= MANY else None), query_table(self.spark, texts), weights, options.max_results, any(len(w) > 1 for ws in words.values() for w in ws))
+        ids = None
+        if options.max_results * len(texts) <= MANY:
+            best = found.collect()
+            ids = sorted({r.row_id for r in best})
+            found = self.spark.createDataFrame(best, found.schema)
+        packed, counts = search.retrieve(found, self.tables.chunks(version, ids), options.max_results, options.max_tokens, options.file_filter, "chunk_text")
         asked = self.spark.createDataFrame(list(texts.items()), "query_id long, query string")
-        return packed.withColumn("text", F.col("chunk_text")), asked.join(found, "query_id", "left").fillna(0, ["found"])
+        return packed.withColumn("text", F.col("chunk_text")), asked.join(counts, "query_id", "left").fillna(0, ["found"])
 
     def search_fresh(self, root: str, text: str, options: Options | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
         """Search, refresh the files of the results that changed, drop those that are gone, and search again."""
         first, _ = self.search({0: text}, options)
-        paths = [r.file_path for r in first.select("file_path").distinct().join(self.tables.current("files", self.version), "file_path", "left_semi").collect()]  # at most max_results
+        paths = [r.file_path for r in first.select("file_path").distinct().join(self.files(), "file_path", "left_semi").collect()]  # at most max_results
         healed = {"files_checked": len(paths), "files_reindexed": 0, "files_dropped": 0}
         if paths:
-            before = self.tables.current("files", self.version).count()
+            before = self.files().count()
             done = self.update(root, paths, evict=True)
             healed["files_reindexed"] = done["n_files"] + done["n_failed"]
-            healed["files_dropped"] = before - self.tables.current("files", self.version).count()
+            healed["files_dropped"] = before - self.files().count()
         return *self.search({0: text}, options), healed
 
     def outline(self, path: str, max_tokens: int = 2000) -> DataFrame:
         return formats.outline(self.tables.chunks(self.version), path, max_tokens)
 
-    def status(self) -> tuple[dict[str, str], DataFrame]:
+    def status(self) -> tuple[dict[str, str | None], DataFrame]:
         """The state, and (language, n_files)."""
-        return self.state(), self.tables.current("files", self.version).groupBy("language").agg(F.count("*").alias("n_files")).orderBy("language")
+        return self.state(), self.files().groupBy("language").agg(F.count("*").alias("n_files")).orderBy("language")
 
 
 Formatter = Callable[[DataFrame, DataFrame], DataFrame]

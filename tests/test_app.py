@@ -74,7 +74,7 @@ def test_ingest(spark, tmp_path):
     assert index.ingest(str(source)) == {"n_files": 2, "n_chunks": 3}
     assert index.ingest(str(source)) == {"n_files": 2, "n_chunks": 3}
     assert [r.symbol_name for r in index.tables.chunks(index.version).orderBy("row_id").collect()] == ["f", "g", "f"] * 2
-    assert {r.hash for r in index.tables.current("files", index.version).collect()} == {NO_HASH}
+    assert {r.hash for r in index.files().collect()} == {NO_HASH}
     source.write_text("[]")
     assert index.ingest(str(source)) == {"n_files": 0, "n_chunks": 0} and index.state()["total_chunks"] == "0"
     version = index.version
