@@ -262,7 +262,8 @@ class Index:
         weights = search.check_weights(options.weights or list(WEIGHTS.values()), len(WEIGHTS))
         words = {q: query_words(text) for q, text in texts.items()}
         terms = sorted({t for ws in words.values() for w in ws for t in w})
-        found, _ = blocks.top(self.tables.corpus(version, terms if len(terms) <= MANY else None), query_table(self.spark, texts), weights, options.max_results, any(len(w) > 1 for ws in words.values() for w in ws))
+        corpus = self.tables.corpus(version, terms if len(terms) <= MANY else None)
+        found, _ = blocks.top(corpus, query_table(self.spark, texts), weights, options.max_results, any(len(w) > 1 for ws in words.values() for w in ws))
         ids = None
         if options.max_results * len(texts) <= MANY:
             best = found.collect()

@@ -21,8 +21,9 @@ from quarry.operators.search import K1, B
 ROWS = 1024
 ENTRY = "struct<row_id: long, doc_len: long, tf: array<int>, positions: array<array<int>>>"
 SCHEMA = f"term string, block long, n long, max_tf array<int>, min_len long, entries array<{ENTRY}>"
-#: Bounds are compared with this share to spare, as sums of floats depend on their order.
-SPARE = 1e-9
+#: Decimals of a score, so that equal rows tie in whatever order their parts were summed; bounds have as much to spare.
+DECIMALS = 9
+SPARE = 10.0**-DECIMALS
 
 
 def block_of(row_id: Column) -> Column:
@@ -98,7 +99,7 @@ class Corpus:
     def part(self, idf: Column, f: Column, length: Column) -> Column:
         """What a word adds to a row's score."""
         average = self.n_tokens / max(self.n_rows, 1) or 1.0
-        return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))).otherwise(0.0)
+        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
 def _weighted(tf: Column, weights: list[float]) -> Column:
@@ -144,7 +145,7 @@ def top(corpus: Corpus, words: DataFrame, weights: list[float], k: int, phrases:
         parts = rows.select("query_id", "row_id", corpus.part(F.col("idf"), _weighted(F.col("e.tf"), weights), F.col("e.doc_len")).alias("part"))
         if exact is not None:
             parts = parts.unionByName(exact.join(chosen, ["query_id", "block"], "left_semi").drop("block"))
-        return parts.groupBy("query_id", "row_id").agg((-F.sum("part")).alias("score"))
+        return parts.groupBy("query_id", "row_id").agg(F.round(-F.sum("part"), DECIMALS).alias("score"))
 
     # a block holds a row at least, so the first k by bound hold k rows; Spark takes the best of each task before it shuffles
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
@@ -155,7 +156,7 @@ def top(corpus: Corpus, words: DataFrame, weights: list[float], k: int, phrases:
     kept = scored(first).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     limit = kept.filter(F.col("rank") == k).select("query_id", (-F.col("score")).alias("limit"))
     rest = bounds.join(first, ["query_id", "block"], "left_anti").join(limit, "query_id", "left")
-    rest = rest.filter(F.col("limit").isNull() | (F.col("bound") * (1 + SPARE) >= F.col("limit")))
+    rest = rest.filter(F.col("limit").isNull() | (F.col("bound") * (1 + SPARE) + SPARE >= F.col("limit")))
     both = kept.drop("rank").unionByName(scored(rest))
     found = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
     chosen = first.unionByName(rest.select("query_id", "block")).groupBy("query_id").agg(F.count("*").alias("scored"))

@@ -26,6 +26,8 @@ from quarry.operators import blocks, code
 FILES = "file_path string, hash string, mtime long, file_size long, language string, chunk_count long, indexed_at long, since int"
 CHUNKS = f"row_id long, {code.SCHEMA}, doc_len long"
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": blocks.SCHEMA, "terms": "term string, df long", "deleted": "bucket long, bitmap binary"}
+#: File systems on which a link is what makes a file appear whole and once.
+LINKED = {"file"}
 _scratch: dict[str, str] = {}
 
 
@@ -102,7 +104,7 @@ class Log:
         stream.write(bytearray(text.encode()))
         stream.close()
         try:
-            if fs.getScheme() == "file":
+            if fs.getScheme() in LINKED:
                 place = self.jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(self._path()).toString()
                 os.link(f"{place}/{draft}", f"{place}/{name}")
             else:
