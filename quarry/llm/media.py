@@ -164,7 +164,10 @@ class _Bits:
     def block(self, dc: dict, ac: dict, before: int) -> list[int]:
         """64 coefficients in zigzag order; before: the last DC value of the component."""
         out = [0] * 64
-        out[0] = before + self.signed(self.symbol(dc))
+        size = self.symbol(dc)
+        if size > MOST_DC:
+            raise ValueError("bad size class")
+        out[0] = before + self.signed(size)
         k = 1
         while k < 64:
             s = self.symbol(ac)
@@ -172,6 +175,8 @@ class _Bits:
                 break
             k += s >> 4
             if s & 15:
+                if s & 15 > MOST_AC:
+                    raise ValueError("bad size class")
                 if k > 63:
                     raise ValueError("too many coefficients")
                 out[k] = self.signed(s & 15)
@@ -179,6 +184,12 @@ class _Bits:
         return out
 
 
+#: Size classes of baseline coefficients, at most (fixed values).
+MOST_DC, MOST_AC = 11, 10
+#: Blocks of a picture that is read, at most (67 million pixels).
+LARGEST = 1 << 20
+
+
 @dataclass
 class Picture:
     """The first component (luminance) of a baseline JPEG."""
@@ -284,6 +295,10 @@ def decode_frame(jpeg) -> Picture:
     lengths = lengths[: -(-units // every)]
     ends = np.cumsum(lengths)
     h, v = sampling[0]
+    if units * h * v > LARGEST:
+        raise ValueError("picture too large")
+    if units * sum(a * d for a, d in sampling) > 4 * len(data):  # a block takes two bits or more
+        raise ValueError("truncated scan")
     out = np.zeros((tall * v, wide * h, 64), np.int32)
     done = np.zeros(len(lengths), bool)
     own = (_LENGTHS, b"\x08\x00")
@@ -367,7 +382,7 @@ def _read(media: bytes | None) -> tuple:
             digest.update(part)
             tail, size = (tail + part)[-64:], size + len(part)
             grey.append(histogram(picture))
-    except (ValueError, IndexError, struct.error) as e:
+    except Exception as e:  # whatever one file does wrong, its row says so and the others are read
         return (None, None, None, *of_file, None, None, str(e) or "broken file")
     grey = np.array(grey)
     first = shots(grey)
