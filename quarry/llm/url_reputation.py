@@ -4,8 +4,8 @@ Reputation. Labelled pages give each host, registered domain and suffix its numb
 is drawn from a beta prior around the rate of all, a domain's around its suffix's posterior mean, a host's around its
 domain's. The strength of each prior is fitted by moments: the spread of rates beyond what chance gives, but a prior isn't
 stronger than the pages its mean rests on. A host's posterior is a beta distribution, and the bound is taken on it, not on a normal one:
-the host is blocked if its bad rate is over ``EXCESS`` times the rate of all with a probability of ``SURE`` or more, that is, if the
-posterior's quantile at ``1 - SURE`` is over that limit. The probability is a ratio of two sums of the density over logits.
+the host is blocked if the odds of a bad page are over ``EXCESS`` times those of all with a probability of ``SURE`` or more, that is, if the
+posterior's quantile at ``1 - SURE`` is over that limit. The limit lies well above the mean, so more labels make hosts of about the mean's rate surer to stay. The probability is a ratio of two sums of the density over logits.
 
 A suffix is the last label, or the last two where ``SUFFIXES`` has them; the registered domain has one label more. Ports and what stands before
 an @ count for the rules' host, not for reputation. IPv4 addresses, bracketed hosts and hosts of one label are domains of their own.
@@ -32,7 +32,7 @@ RULES = [
 ]
 #: Suffixes of two labels under which anyone can register (common ones; a parameter).
 SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.kr", "co.nz", "co.za", "co.in", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "com.ar"]
-EXCESS, SURE = 1.0, 0.75
+EXCESS, SURE = 3.0, 0.9
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 2.0, 1000.0
 #: Steps on each side of the limit over which a posterior is summed up.
@@ -96,7 +96,7 @@ def sure_over(a: Column, b: Column, limit: Column) -> Column:
 def reputation(pages: DataFrame, labels: DataFrame, excess: float = EXCESS) -> DataFrame:
     """(site, bad_mean, bad_sure) of every site of pages (page_id, site, domain, suffix); labels: (page_id, bad).
 
-    bad_mean: posterior mean of its bad rate; bad_sure: probability that it is over ``excess`` times the rate of all.
+    bad_mean: posterior mean of its bad rate; bad_sure: probability that its odds are over ``excess`` times those of all.
     """
     marks = pages.join(labels.filter("bad is not null"), "page_id", "left").groupBy("site", "domain", "suffix").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     marks = stored(marks)
@@ -118,7 +118,7 @@ def reputation(pages: DataFrame, labels: DataFrame, excess: float = EXCESS) -> D
     domains = domains.select("domain", "suffix", post("w", F.col("above"), "k_domain", "n_domain").alias("above"), (F.col("w") + F.col("n_domain")).alias("known"))
     out = marks.join(domains, ["domain", "suffix"]).withColumn("w", weight(2, F.col("known"))).withColumn("bad_mean", post("w", F.col("above"), "k", "n"))
     mass = F.col("w") + F.col("n")
-    limit = min(rate * excess, 1 - 1e-6)
+    limit = min(rate * excess / (1 - rate + rate * excess), 1 - 1e-6)
     sure = sure_over(F.greatest(F.lit(1e-3), F.col("bad_mean") * mass), F.greatest(F.lit(1e-3), (1 - F.col("bad_mean")) * mass), F.lit(limit)) if rate else F.lit(0.0)
     return out.select("site", "bad_mean", sure.alias("bad_sure"))
 
@@ -162,7 +162,7 @@ d2 AS (SELECT domain, suffix, rate, (w * above + k_d) / (w + n_d) AS above, w +
     FROM (SELECT d.*, rate, above, greatest(0.001, least(m1, known)) AS w FROM d JOIN x2 ON d.suffix = x2.suffix, f)),
 m2 AS (SELECT site, rate, w + n AS mass, (w * above + k) / (w + n) AS mean
     FROM (SELECT m.*, rate, above, greatest(0.001, least(m2, known)) AS w FROM m JOIN d2 ON m.domain = d2.domain AND m.suffix = d2.suffix, f)),
-b AS (SELECT site, greatest(0.001, mean * mass) AS a, greatest(0.001, (1 - mean) * mass) AS b, ln(rate / (1 - rate)) AS lim FROM m2),
+b AS (SELECT site, greatest(0.001, mean * mass) AS a, greatest(0.001, (1 - mean) * mass) AS b, ln(rate / (1 - rate)) + ln({EXCESS}) AS lim FROM m2),
 e AS (SELECT *, least(ln(a / b), lim) - 8 * sqrt(1 / a + 1 / b) - 12 / a AS lo, greatest(ln(a / b), lim) + 8 * sqrt(1 / a + 1 / b) + 12 / b AS hi FROM b),
 g AS (SELECT site, {half("lo", "lim")} AS low, {half("lim", "hi")} AS high FROM e)
 SELECT page_id, host, path, CASE {cases(0)} END AS rule,
