@@ -6,36 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import glob_regex, token_cost, token_count, tokens
+from quarry.operators import metrics
 
 K1, B = 1.2, 0.75
 
 
-#: Distinct query terms that are sent to all tasks; more are joined.
-MANY_TERMS = 200_000
+#: Distinct query terms that rows are filtered by before their words become rows, and that are sent to all tasks; more are joined.
+FEW_TERMS, MANY_TERMS = 5_000, 200_000
 
 
-def postings(chunks: DataFrame, columns: list[str], positions: bool = False, queries: DataFrame | None = None) -> DataFrame:
-    """(term, row_id, col_id, tf[, positions][, doc_len]) of the text columns of chunks (row_id, columns...).
+def postings(chunks: DataFrame, columns: list[str], positions: bool = False, queries: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., term, row_id, col_id, tf[, positions][, doc_len]) of the text columns of chunks (by..., row_id, columns...).
 
-    With ``queries`` (term, ...) only their terms, with the rows' lengths: other words go before anything is shuffled. The terms are
-    counted first, and sent to all tasks if they are few.
+    With ``queries`` (term, ...) only their terms, with the rows' lengths: other words go before anything is shuffled, of few terms
+    within the row. The terms are read first, and sent to all tasks if they aren't many.
     """
     words = F.array(*[tokens(F.col(c)) for c in columns])
-    rows = chunks.select("row_id", words.alias("words"))
+    rows = chunks.select(*by, "row_id", words.alias("words"))
     length = sum(F.size(F.col("words")[i]) for i in range(len(columns))).cast("long")
-    rows = rows.select("row_id", length.alias("doc_len"), F.posexplode("words").alias("col_id", "own")).select("row_id", "doc_len", "col_id", F.posexplode("own").alias("pos", "term"))
+    few, terms = False, None
+    if queries is not None:
+        terms = queries.select("term").distinct()
+        known = [r.term for r in terms.limit(FEW_TERMS + 1).collect()]
+        few = len(known) <= FEW_TERMS
+    own = F.transform("words", lambda w: F.transform(w, lambda t, i: F.struct(i.alias("pos"), t.alias("term"))) if positions else w)
+    if few:
+        term = (lambda x: x["term"]) if positions else (lambda x: x)
+        own = F.transform(own, lambda w: F.filter(w, lambda t: term(t).isin(known)))
+    rows = rows.select(*by, "row_id", length.alias("doc_len"), F.posexplode(own).alias("col_id", "own"))
+    rows = rows.select(*by, "row_id", "doc_len", "col_id", F.explode("own").alias("w"))
+    rows = rows.select(*by, "row_id", "doc_len", "col_id", *([F.col("w.pos").alias("pos"), F.col("w.term").alias("term")] if positions else [F.col("w").alias("term")]))
     found = [F.count("*").alias("tf")] + [F.array_sort(F.collect_list("pos")).alias("positions")] * positions
-    if queries is None:
-        return rows.groupBy("term", "row_id", "col_id").agg(*found)
-    terms = queries.select("term").distinct()
-    few = terms.limit(MANY_TERMS + 1).count() <= MANY_TERMS
-    rows = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
-    return rows.groupBy("term", "row_id", "col_id").agg(*found, F.first("doc_len").alias("doc_len"))
+    if terms is None:
+        return rows.groupBy(*by, "term", "row_id", "col_id").agg(*found)
+    if not few:
+        many = terms.limit(MANY_TERMS + 1).count() > MANY_TERMS
+        rows = rows.join(terms if many else F.broadcast(terms), "term", "left_semi")
+    return rows.groupBy(*by, "term", "row_id", "col_id").agg(*found, F.first("doc_len").alias("doc_len"))
 
 
-def lengths(chunks: DataFrame, columns: list[str]) -> DataFrame:
-    """(row_id, doc_len): tokens over all indexed columns."""
-    return chunks.select("row_id", sum(token_count(F.col(c)) for c in columns).cast("long").alias("doc_len"))
+def lengths(chunks: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., row_id, doc_len): tokens over all indexed columns."""
+    return chunks.select(*by, "row_id", sum(token_count(F.col(c)) for c in columns).cast("long").alias("doc_len"))
 
 
 def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
@@ -83,6 +95,33 @@ def bm25(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights:
     return scored.groupBy("query_id", "row_id").agg((-F.sum(part)).alias("score"))
 
 
+def bm25_arms(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, weights: list[float] | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(arm, query_id, row_id, score) of queries (query_id, term, pos) in several indexes at once, each with its own statistics.
+
+    index: postings with ``arm`` and ``doc_len``; doc_lengths: (arm, row_id, doc_len) of all rows. A word's frequency and the mean length are those of the
+    arm, so that an arm's scores are those of an index of its own; one row id may stand in several arms. There are few arms: their totals go to all tasks.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("col_id") + 1) if weights else F.lit(1.0)
+    totals = doc_lengths.groupBy("arm").agg(F.count("*").alias("n_rows"), (F.sum("doc_len") / F.count("*")).alias("average"))
+    hits = index.join(queries, "term").groupBy("arm", "query_id", "pos", "row_id").agg(F.sum(weight * F.col("tf")).alias("f"), F.first("doc_len").alias("doc_len"))
+    frequency = hits.groupBy("arm", "query_id", "pos").agg(F.count("*").alias("n"))
+    scored = hits.join(frequency, ["arm", "query_id", "pos"]).join(totals, "arm")
+    idf = F.greatest(F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("doc_len") / F.col("average")))
+    return scored.groupBy("arm", "query_id", "row_id").agg((-F.sum(part)).alias("score"))
+
+
+def side_by_side(ranked: DataFrame, gold: DataFrame, queries: DataFrame, arms: list[str], ks: list[int]) -> DataFrame:
+    """(arm, k, n_queries, recall, precision, f1, ndcg): means over the queries of each arm, none of which is called better.
+
+    ranked: (arm, query_id, rank, item); gold: (query_id, item) or (arm, query_id, item); queries: (query_id). A query counts in every arm, found or not.
+    """
+    every = F.explode(F.array(*map(F.lit, arms))).alias("arm")
+    pair = lambda df: (df if "arm" in df.columns else df.select("*", every)).withColumn("query_id", F.struct("arm", "query_id")).drop("arm")
+    rows = metrics.at_k(pair(ranked), pair(gold), pair(queries), ks).withColumn("arm", F.col("query_id.arm"))
+    return rows.groupBy("arm", "k").agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in ("recall", "precision", "f1", "ndcg")])
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, ties by row."""
     order = Window.partitionBy("query_id").orderBy("score", "row_id")

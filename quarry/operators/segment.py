@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +48,37 @@ def join_files(chunks: DataFrame) -> DataFrame:
     """(corpus_id, file_path, text): the chunks (corpus_id, file_path, place, chunk_text) of each file in order; a file fits one row."""
     lists = chunks.groupBy("corpus_id", "file_path").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_text"))).alias("parts"))
     return lists.select("corpus_id", "file_path", F.array_join(F.transform("parts", lambda p: p["chunk_text"]), "").alias("text"))
+
+
+def align(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks (file_path, place, chunk_text, start_line, ...) with start_byte, end_byte and verbatim: where their texts stand in files (file_path, text).
+
+    Chunks are looked for in order of ``place``, each from the end of the one before; a text that isn't there from that point on is put at the start of its line (from 1;
+    the end of the file, if it has fewer lines), and the next search goes on behind it. Null texts are empty, and stand where the search is; chunks of unknown files have null places. A file and its
+    chunks fit one row.
+    """
+    kept = [c for c in chunks.columns if c not in ("start_byte", "end_byte", "verbatim")]
+    lists = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("chunk_text", F.lit("")).alias("chunk_text"), "start_line"))).alias("parts"))
+    both = lists.join(files.select("file_path", F.coalesce("text", F.lit("")).alias("text")), "file_path")
+    place = dict(chunks.dtypes)["place"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, parts, text in zip(*(batch.column(c).to_pylist() for c in ("file_path", "parts", "text")), strict=True):
+                data, cursor = text.encode(), 0
+                line_starts = [0, *(i + 1 for i, b in enumerate(data) if b == 10)]
+                for part in parts:
+                    own, line = part["chunk_text"].encode(), part["start_line"]
+                    start = data.find(own, cursor)
+                    verbatim = start >= 0
+                    if not verbatim:
+                        start = line_starts[line - 1] if line is not None and 0 < line <= len(line_starts) else len(data)
+                    cursor = start + len(own)
+                    out.append((path, part["place"], start, cursor, verbatim))
+            if out:
+                types = [pa.string(), batch.schema.field("parts").type.value_type.field("place").type, pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["file_path", "place", "start_byte", "end_byte", "verbatim"])
+
+    found = both.mapInArrow(run, f"file_path string, place {place}, start_byte long, end_byte long, verbatim boolean")
+    return chunks.select(kept).join(found.dropDuplicates(["file_path", "place"]), ["file_path", "place"], "left").select(*kept, "start_byte", "end_byte", "verbatim")
