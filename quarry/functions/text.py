@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 #: Words that queries leave out (fixed values).
 STOPWORDS = "a an and are as at be by for from how in is it of on or that the to with".split()
 
-#: Accented Latin letters and what they fold to, from the Unicode decompositions of U+00C0 to U+017F.
-_PAIRS = []
+#: Combining marks that belong to a word and go from it (fixed values, as ranges of a pattern).
+MARKS = r"\u0300-\u0304\u0306-\u030c\u030f\u0311\u031b\u0323-\u0328\u032d\u032e\u0330\u0331"
+#: A word: it begins with a letter or digit.
+WORD = rf"[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}{MARKS}]*"
+_PAIRS: dict[str, str] = {}
 
 
 def _fold_table() -> tuple[str, str]:
+    """Letters in lower case and what they fold to, over all of Unicode, then the marks that go.
+
+    Letters that are an ASCII letter with marks lose these, others keep theirs; variants of a letter in lower case (a final sigma, a long s) become the letter.
+    """
+    import re
+    import sys
     import unicodedata
 
     if not _PAIRS:
-        for c in map(chr, range(0xC0, 0x180)):
-            base = unicodedata.normalize("NFD", c)
-            if len(base) > 1 and len(c.lower()) == 1:
-                _PAIRS.append((c.lower(), base[0].lower()))
-    pairs = dict(_PAIRS)
-    return "".join(pairs), "".join(pairs.values())
+        for c in map(chr, range(0x80, sys.maxunicode + 1)):
+            if c != c.lower() or not c.isalpha():
+                continue
+            other = c.casefold()
+            base, *marks = unicodedata.normalize("NFD", c)
+            if marks and base.isascii() and all(unicodedata.category(m) == "Mn" for m in marks):
+                other = base
+            if len(other) == 1 and other != c:
+                _PAIRS[c] = other
+    gone = re.findall(f"[{MARKS}]", "".join(map(chr, range(0x300, 0x370))))
+    return "".join(_PAIRS) + "".join(gone), "".join(_PAIRS.values())
 
 
 def fold(text: Column) -> Column:
@@ -31,32 +45,33 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded; ``_`` separates. Null has none. Folding is for the tokens that need it, not for whole texts."""
+    """Runs of letters and digits with their marks, folded; ``_`` separates. Null has none. Folding is for the tokens that need it, not for whole texts."""
     low = F.lower(text)
     plain = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    other = F.transform(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), fold)
+    other = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), fold)
     return F.coalesce(F.when(F.octet_length(low) == F.length(low), plain).otherwise(other), F.array().cast("array<string>"))
 
 
 def token_count(text: Column) -> Column:
     """How many tokens a text has."""
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def query_words(text: str) -> list[list[str]]:
     """The words of a query as lists of terms: a word with ``_`` or quotes inside is a phrase of several terms."""
     import re
 
-    words = [w for w in re.findall(r"[\w\"]+", text.lower()) if w not in STOPWORDS]
+    words = [w for w in re.findall(rf"[\w\"{MARKS}]+", text.lower()) if w not in STOPWORDS]
     return [terms for terms in map(_terms, words) if terms]
 
 
 def _terms(word: str) -> list[str]:
-    """The same folding as of texts: Latin letters lose their accents, other scripts keep their marks."""
+    """The same folding as of texts."""
     import re
 
     source, target = _fold_table()
-    return re.findall(r"[^\W_]+", word.translate(str.maketrans(source, target)))
+    table = str.maketrans(source[: len(target)], target, source[len(target) :])
+    return [t.translate(table) for t in re.findall(rf"[^\W_][^\W_{MARKS}]*(?:[{MARKS}]+[^\W_]*)*", word)]
 
 
 def query_terms(text: str) -> list[str]:
