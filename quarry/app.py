@@ -285,6 +285,30 @@ class Index:
             healed["files_dropped"] = before - self.files().count()
         return *self.search({0: text}, options), healed
 
+    def search_healed(self, root: str, texts: dict[int, str], options: Options | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        """``search`` of many queries that leaves no stale result: the files of all results are looked at in one scan and refreshed as one version.
+
+        Only queries with a result in a file that changed or is gone are searched again; the others keep what they have. A refresh may bring new rows for a query
+        that had none of them, as in ``search_fresh``, whose healing goes by results too. The results stay as they are on the first version if nothing changed.
+        """
+        first, asked = self.search(texts, options)
+        seen = first.select("query_id", "file_path").distinct().join(self.files(), "file_path", "left_semi").persist()
+        paths = [r.file_path for r in seen.select("file_path").distinct().collect()]  # at most max_results for each query
+        healed = {"files_checked": len(paths), "files_reindexed": 0, "files_dropped": 0}
+        before = self.latest()
+        old = self.tables.files(before)
+        done = self.update(root, paths, evict=True) if paths else {"n_files": 0, "n_failed": 0}
+        stale = old.join(self.files(), ["file_path", "hash"], "left_anti").select("file_path")
+        again = {r.query_id for r in seen.join(stale, "file_path", "left_semi").select("query_id").distinct().collect()}
+        gone = old.join(self.files(), "file_path", "left_anti").count()
+        seen.unpersist()
+        healed |= {"files_reindexed": done["n_files"] + done["n_failed"], "files_dropped": gone}
+        if not again:
+            return first, asked, healed
+        fresh, counts = self.search({q: texts[q] for q in again}, options)
+        rest = ~F.col("query_id").isin([*again])
+        return first.filter(rest).unionByName(fresh), asked.filter(rest).unionByName(counts), healed
+
     def outline(self, path: str, max_tokens: int = 2000) -> DataFrame:
         return formats.outline(self.tables.chunks(self.version), path, max_tokens)
 

@@ -29,7 +29,7 @@ def _fold_table() -> tuple[str, str]:
             if c != c.lower() or not c.isalpha():
                 continue
             other = c.casefold()
-            base, *marks = unicodedata.normalize("NFD", c)
+            base, *marks = unicodedata.normalize("NFD", other)
             if marks and base.isascii() and all(unicodedata.category(m) == "Mn" for m in marks):
                 other = base
             if len(other) == 1 and other != c:

@@ -112,6 +112,30 @@ def grep_blocks(observation: Column) -> Column:
     return F.array_distinct(F.zip_with(path, names, lambda p, n: F.struct(p.alias("file_path"), n.alias("symbol_name"))))
 
 
+#: Letters of an anchor.
+ANCHOR = 3
+
+
+def contained(texts: DataFrame, patterns: DataFrame, key: str = "task") -> DataFrame:
+    """(key, id, pattern): which patterns (key, pattern) stand in which texts (key, id, text) of the same key; each pair once.
+
+    Not every pattern is held against every text: of its runs of ``ANCHOR`` letters a pattern takes the one that the fewest patterns of its key have, and is compared with
+    the texts that hold that. Shorter patterns are their own anchors; the empty pattern stands in every text. Nulls stand nowhere.
+    """
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    own = patterns.select(F.col(key).alias("key"), "pattern").filter("key is not null and pattern is not null").distinct()
+    grams = own.filter(F.length("pattern") > ANCHOR).select("key", "pattern", F.explode(F.array_distinct(runs(F.col("pattern"), ANCHOR))).alias("anchor"))
+    common = grams.groupBy("key", "anchor").agg(F.count("*").alias("n"))
+    rarest = grams.join(common, ["key", "anchor"]).groupBy("key", "pattern").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
+    anchors = rarest.unionByName(own.filter(F.length("pattern") <= ANCHOR).select("key", "pattern", F.col("pattern").alias("anchor")))
+    rows = texts.select(F.col(key).alias("key"), "id", "text").filter("key is not null and text is not null")
+    every = [F.when(F.length("text") >= n, runs(F.col("text"), n)).otherwise(none) for n in range(1, ANCHOR + 1)]
+    held = rows.select("key", "id", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))).alias("anchor"))
+    found = held.join(anchors, ["key", "anchor"]).filter(F.contains("text", "pattern"))
+    return found.select(F.col("key").alias(key), "id", "pattern").distinct()
+
+
 def surfaced(actions: DataFrame, repo_files: DataFrame) -> DataFrame:
     """(task, turn, files, blocks): what each action showed, first seen first.
 
@@ -119,8 +143,8 @@ def surfaced(actions: DataFrame, repo_files: DataFrame) -> DataFrame:
     the names shown by a command that names files of its task, by path.
     """
     command = F.replace(F.coalesce("command", F.lit("")), F.lit("\\"), F.lit("/"))
-    named = actions.select("task", "turn", command.alias("command")).join(repo_files.distinct(), "task").filter(F.contains("command", "file_path"))
-    named = named.groupBy("task", "turn").agg(F.array_sort(F.collect_list("file_path")).alias("named"))
+    named = contained(actions.select("task", F.col("turn").alias("id"), command.alias("text")), repo_files.select("task", F.col("file_path").alias("pattern")))
+    named = named.groupBy("task", F.col("id").alias("turn")).agg(F.array_sort(F.collect_list("pattern")).alias("named"))
     rows = actions.join(named, ["task", "turn"], "left")
     seen = F.coalesce("observation", F.lit(""))
     files = F.coalesce("named", F.array().cast("array<string>"))

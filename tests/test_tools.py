@@ -84,3 +84,38 @@ def test_outline_takes_folders_in_either_case(spark):
     columns = spark.createDataFrame([("Src/a.py",), ("src/b.py",), ("SRC",), ("src",), ("srcs/c.py",)], "file_path string")
     found = columns.filter(formats.under(F.col("file_path"), "src"))
     assert {r.file_path for r in found.collect()} == {"Src/a.py", "src/b.py", "src"}
+
+
+def test_patterns_in_texts_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("ab/.", k=n))
+    texts = [(rng.choice("tu"), i, rng.choice([None, "", word(2), word(40), word(90)])) for i in range(60)]
+    patterns = [(rng.choice(["t", "u", "v", None]), rng.choice([None, "", word(1), word(2), word(3), word(5), word(9)])) for _ in range(80)]
+    got = records.contained(spark.createDataFrame(texts, "task string, id int, text string"), spark.createDataFrame(patterns, "task string, pattern string"))
+    want = {(t, i, p) for t, i, text in texts for k, p in patterns if k == t and text is not None and p is not None and p in text}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_results_of_many_queries_are_healed_at_once(spark, tmp_path):
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    for name in ("load", "save", "keep"):
+        (tree / f"{name}.py").write_text(f"def {name}():\n    pass\n")
+    index = Index(spark, str(tmp_path / "index"))
+    index.create()
+    index.index(str(tree))
+    before = index.version
+    texts = {0: "load", 1: "save", 2: "keep", 3: "nothing"}
+    names = lambda packed: {(r.query_id, r.file_path, r.symbol_name) for r in packed.collect()}
+    packed, asked, healed = index.search_healed(str(tree), texts)
+    assert healed == {"files_checked": 3, "files_reindexed": 0, "files_dropped": 0} and len(names(packed)) == 3
+    (tree / "load.py").write_text("def load_all():\n    pass\n")
+    (tree / "save.py").unlink()
+    packed, asked, healed = index.search_healed(str(tree), texts)
+    assert healed == {"files_checked": 3, "files_reindexed": 1, "files_dropped": 1}
+    assert names(packed) == {(0, "load.py", "load_all"), (2, "keep.py", "keep")}
+    assert {r.query_id: r.found for r in asked.collect()} == {0: 1, 1: 0, 2: 1, 3: 0} and index.latest().changes > before - 1
