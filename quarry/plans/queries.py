@@ -457,3 +457,23 @@ SELECT v.query_id, CAST(k AS INTEGER) AS k, c.turn, c.tokens, {_MEASURES}, CAST(
 ORACLES["macro_quality"] = f"SELECT k, round(avg(recall), 3) AS recall, round(avg(precision), 3) AS precision, round(avg(f1), 3) AS f1, round(avg(ndcg), 3) AS ndcg FROM ({ORACLES['ranking_quality']}) GROUP BY k"
 ORACLES["weighted_arms"] = CHUNKS + " SELECT lang AS arm, count(*) AS n_queries, round(avg(end_byte), 3) AS bytes, round(avg(length(text) - length(replace(text, chr(10), '')) + 1), 3) AS lines FROM chunks GROUP BY lang"
 ORACLES["ingest_totals"] = "SELECT source, arg_min(lang, doc_id) AS language, count(*) AS chunk_count FROM documents GROUP BY source"
+_FIELDS = {"symbol_name": "symbol_name", "symbol_type": "'function'", "file_path": "file_path", "start_byte": "0", "end_byte": "end_byte", "language": "lang", "bm25_score": "score / 1e6", "chunk_text": "text"}
+_OBJECT = " || ',' || chr(10) || ".join(f"""'      "{k}": ' || to_json({v})""" for k, v in _FIELDS.items())
+ORACLES["json_format"] = _PACKED + f""", b AS (SELECT query_id, sum(tokens) AS spent, string_agg('    {{' || chr(10) || {_OBJECT} || chr(10) || '    }}', ',' || chr(10) ORDER BY rank) AS body FROM z GROUP BY query_id)
+SELECT qs.query_id, '{{' || chr(10) || '  "query": ' || to_json(query) || ',' || chr(10) || '  "total_results": ' || found || ',' || chr(10) || '  "total_tokens": ' || CAST(coalesce(spent, 0) AS BIGINT) || ',' || chr(10)
+  || '  "chunks": ' || CASE WHEN body IS NULL THEN '[]' ELSE '[' || chr(10) || body || chr(10) || '  ]' END || chr(10) || '}}' AS output FROM qs LEFT JOIN b ON qs.query_id = b.query_id"""
+_CONFIGS = " UNION ALL ".join(f"SELECT '{name}' AS config, {i} AS ord, '{','.join(f'{w:g}' for w in ws)}' AS weights" for i, (name, ws) in enumerate(GRID.items()))
+ORACLES["ablation_report"] = f"""WITH w AS (SELECT * FROM ({ORACLES["weight_sweep"]})), c AS ({_CONFIGS}), ks AS (SELECT unnest([1, 5]) AS k),
+g AS (SELECT DISTINCT item_id AS query_id, doc_id AS row_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({TOK.format("b.text")}) > 0), gs AS (SELECT query_id, count(*) AS g FROM g GROUP BY query_id),
+hr AS (SELECT w.config, w.query_id, rank, CASE WHEN g.row_id IS NULL THEN 0 ELSE 1 END AS hit FROM w LEFT JOIN g ON w.query_id = g.query_id AND w.row_id = g.row_id),
+m AS (SELECT c.config, b.item_id AS query_id, ks.k, count(rank) AS n, coalesce(sum(CASE WHEN rank <= ks.k THEN hit END), 0) AS h, coalesce(sum(CASE WHEN rank <= ks.k THEN hit / log2(rank + 1.0) END), 0) AS dcg
+  FROM benchmark b CROSS JOIN ks CROSS JOIN c LEFT JOIN hr ON hr.query_id = b.item_id AND hr.config = c.config GROUP BY ALL),
+v AS (SELECT config, m.query_id, k, dcg, coalesce(g, 0) AS g, CASE WHEN g IS NULL THEN 1.0 ELSE h / g END AS recall, CASE WHEN n = 0 THEN 0.0 ELSE h / least(k, n) END AS precision,
+  (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= least(k, coalesce(gs.g, 0))) AS ideal FROM m LEFT JOIN gs ON m.query_id = gs.query_id),
+a AS (SELECT config, k, count(*) AS n_queries, avg(CASE WHEN recall + precision = 0 THEN 0 ELSE 2 * recall * precision / (recall + precision) END) AS f1, avg(CASE WHEN g = 0 THEN 1.0 ELSE dcg / ideal END) AS ndcg FROM v GROUP BY ALL),
+f AS (SELECT a.*, ord, weights FROM a JOIN c ON a.config = c.config WHERE k = 5),
+t AS (SELECT string_agg('| ' || config || ' | ' || weights || ' | ' || printf('%.4f', f1) || ' | ' || printf('%.4f', ndcg) || ' |', chr(10) ORDER BY ord) AS rows, arg_max(config, (ndcg, -ord)) AS best, max(ndcg) AS value FROM f),
+u AS (SELECT string_agg('| best ' || k || ' | ' || n_queries || ' | ' || printf('%.4f', f1) || ' | ' || printf('%.4f', ndcg) || ' |', chr(10) ORDER BY k) AS rows FROM a WHERE config = 'default')
+SELECT '## Weight vectors at 5' || chr(10) || chr(10) || '| config | weights | f1 | ndcg |' || chr(10) || '|---|---|---|---|' || chr(10) || t.rows || chr(10) || chr(10)
+  || '## Arms at 5' || chr(10) || chr(10) || '| arm | n_queries | f1 | ndcg |' || chr(10) || '|---|---|---|---|' || chr(10) || u.rows || chr(10) || chr(10)
+  || 'Best by NDCG@5: **' || best || '** (' || printf('%.4f', value) || '); the default is the best: **' || CASE WHEN best = 'default' THEN 'yes' ELSE 'no' END || '**' AS output FROM t, u"""
