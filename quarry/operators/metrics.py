@@ -28,6 +28,29 @@ def at_k(ranked: DataFrame, gold: DataFrame, queries: DataFrame, ks: list[int])
     return out.select("query_id", "k", "recall", "precision", f1.alias("f1"), F.when(F.col("g") == 0, 1.0).otherwise(F.col("dcg") / ideal).alias("ndcg"))
 
 
+MEASURES = ("recall", "precision", "f1", "ndcg")
+LEVELS = [f"{level}_{m}" for level in ("file", "block") for m in MEASURES]
+
+
+def at_levels(ranked: DataFrame, gold_files: DataFrame, gold_blocks: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
+    """(query_id, k, file_recall ... block_ndcg) of each query: the measures of ``at_k`` for the blocks as ranked, and for their files, each at its first block.
+
+    ranked: (query_id, rank, file_path, item); gold: (query_id, item), of files by path.
+    """
+    first = ranked.groupBy("query_id", F.col("file_path").alias("item")).agg(F.min("rank").alias("first"))
+    files = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).drop("first")
+    named = lambda rows, level: rows.withColumnsRenamed({m: f"{level}_{m}" for m in MEASURES})
+    blocks = at_k(ranked.select("query_id", "rank", "item"), gold_blocks, queries, ks)
+    return named(at_k(files, gold_files, queries, ks), "file").join(named(blocks, "block"), ["query_id", "k"])
+
+
+def macro_levels(rows: DataFrame, types: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., subset, k, n_queries, means of all measures): over all queries and over those of type ``keyword``; types: (query_id, query_type)."""
+    subset = F.explode(F.when(F.col("query_type") == "keyword", F.array(F.lit("all"), F.lit("keyword"))).otherwise(F.array(F.lit("all")))).alias("subset")
+    spread = rows.join(types.select("query_id", "query_type"), "query_id", "left").select(*keys, "k", *LEVELS, subset)
+    return spread.groupBy(*keys, "subset", "k").agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in LEVELS])
+
+
 def macro(rows: DataFrame) -> DataFrame:
     """Means of the measures for each k."""
     return rows.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "f1", "ndcg")])

@@ -191,12 +191,12 @@ def check_weights(weights: list[float], n_columns: int) -> list[float]:
 
 
 def sweep(index: DataFrame, doc_lengths: DataFrame, queries: DataFrame, vectors: dict[str, list[float]], k1: float = K1, b: float = B) -> DataFrame:
-    """(config, query_id, row_id, score) of all weight vectors in one pass: a vector adds a sum to the aggregates, not rows to the joins."""
+    """(config, query_id, row_id, score) of all weight vectors in one pass: a vector adds a sum to the aggregates, not rows to the joins. Words may be phrases, as in ``matches``."""
     n_rows, average = _corpus(doc_lengths)
     names = list(vectors)
     weights = {name: F.element_at(F.array(*[F.lit(float(w)) for w in ws]), F.col("col_id") + 1) for name, ws in vectors.items()}
     length = [F.first("doc_len").alias("doc_len")] * ("doc_len" in index.columns)
-    hits = index.join(queries, "term").groupBy("query_id", "pos", "term", "row_id").agg(*[F.sum(weights[n] * F.col("tf")).alias(n) for n in names], *length)
+    hits = matches(index, queries).groupBy("query_id", "pos", "row_id").agg(*[F.sum(weights[n] * F.col("tf")).alias(n) for n in names], *length)
     frequency = hits.groupBy("query_id", "pos").agg(F.count("*").alias("n"))
     idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
     scored = hits.join(frequency, ["query_id", "pos"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators import intervals, search, segment
-from quarry.plans.queries import _LINES, _MANY, CHUNKS, TOK, _benchmark_terms, _gold, _rounded, chunks
+from quarry.operators import intervals, metrics, search, segment
+from quarry.plans.queries import _LINES, _MANY, CHUNKS, TOK, _benchmark_terms, _bm25_sql, _gold, _rounded, chunks
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,38 @@ def arm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arm", "k", "n_queries", *[F.round(c, 4).alias(c) for c in ("recall", "precision", "f1", "ndcg")])
 
 
-QUERIES = {f.__name__: f for f in (containment, overlap_rounds, chunk_alignment, arm_scores, arm_quality)}
+#: The seven columns of a chunk as parts of a document (Spark, DuckDB), and the six weight vectors (fixed values).
+_LINE = "split_part(text, chr(10), {})"
+_COLUMNS = {
+    "symbol_name": ("symbol_name", "symbol_name"), "symbol_type": ("lang", "lang"), "chunk_text": ("text", "text"), "parent_symbol": ("source", "source"),
+    "imports": (_LINE.format(2), _LINE.format(2)), "cross_references": (_LINE.format(3), _LINE.format(3)), "file_docstring": (_LINE.format(4), _LINE.format(4)),
+}
+VECTORS = {
+    "default": [10, 1, 1, 5, 2, 2, 2], "flat": [1, 1, 1, 1, 1, 1, 1], "name_only": [10, 0, 0, 0, 0, 0, 0],
+    "body_heavy": [1, 1, 10, 1, 1, 1, 1], "name_strong": [20, 1, 1, 5, 2, 2, 2], "enrich_heavy": [10, 1, 1, 5, 5, 5, 5],
+}
+
+
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six weight vectors over seven columns: means of all measures of files (folders) and blocks (documents), over all items and those taken as keyword queries."""
+    c = chunks(spark, sf_dir)
+    rows = c.select("row_id", *[F.expr(e).alias(n) for n, (e, _) in _COLUMNS.items()])
+    asked, names = _benchmark_terms(spark, sf_dir), list(_COLUMNS)
+    scores = _rounded(search.sweep(search.postings(rows, names, queries=asked), search.lengths(rows, names), asked, VECTORS))
+    order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
+    folder = F.concat_ws("/", "source", "lang").alias("file_path")
+    best = scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").join(c.select("row_id", folder), "row_id")
+    pair = lambda df: df.withColumn("query_id", F.struct("config", "query_id")).drop("config")
+    every = F.explode(F.array(*map(F.lit, VECTORS))).alias("config")
+    gold = _gold(spark, sf_dir).select("query_id", "item", every)
+    files = gold.join(c.select(F.col("row_id").alias("item"), folder), "item").select("query_id", F.col("file_path").alias("item"), "config")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "semantic").otherwise("keyword").alias("query_type")).select("*", every)
+    found = metrics.at_levels(pair(best.withColumnRenamed("row_id", "item")), pair(files), pair(gold), pair(items).select("query_id"), [1, 10])
+    means = metrics.macro_levels(found.withColumn("config", F.col("query_id.config")), pair(items), ("config",))
+    return means.select("config", "subset", "k", "n_queries", *[F.round(m, 4).alias(m) for m in metrics.LEVELS])
+
+
+QUERIES = {f.__name__: f for f in (containment, overlap_rounds, chunk_alignment, arm_scores, arm_quality, sweep_grid)}
 
 _BYTES = "array_to_string([chr(256 + CAST('0x' || substr({0}, 2 * i + 1, 2) AS INTEGER)) FOR i IN range(length({0}) // 2)], '')"
 _PART = "SELECT row_id, '{0} ' || segment AS id, min(start_byte) AS start, max(end_byte) AS stop FROM (SELECT *, CAST(sum(CASE WHEN regexp_matches(line_text, '{1}') THEN 1 ELSE 0 END) OVER (PARTITION BY row_id ORDER BY line) AS BIGINT) AS segment FROM lines) WHERE segment > 0 GROUP BY row_id, segment"
@@ -126,3 +157,23 @@ v AS (SELECT m.*, coalesce(g, 0) AS g, CASE WHEN g IS NULL THEN 1.0 ELSE h / g E
   (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= least(k, coalesce(gs.g, 0))) AS ideal FROM m LEFT JOIN gs ON m.query_id = gs.query_id)
 SELECT arm, CAST(k AS INTEGER) AS k, count(*) AS n_queries, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision,
   round(avg(CASE WHEN recall + precision = 0 THEN 0 ELSE 2 * recall * precision / (recall + precision) END), 4) AS f1, round(avg(CASE WHEN g = 0 THEN 1.0 ELSE dcg / ideal END), 4) AS ndcg FROM v GROUP BY arm, k"""
+
+_LEVEL = """CASE WHEN {0}g IS NULL THEN 1.0 ELSE {0}h / {0}g END AS {0}recall, CASE WHEN {0}n = 0 THEN 0.0 ELSE {0}h / least(k, {0}n) END AS {0}precision,
+  CASE WHEN {0}g IS NULL THEN 1.0 ELSE {0}dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= least(k, {0}g)) END AS {0}ndcg"""
+_HITS = "count({0}rank) AS {0}n, coalesce(sum(CASE WHEN {0}rank <= k THEN {0}hit END), 0) AS {0}h, coalesce(sum(CASE WHEN {0}rank <= k THEN {0}hit / log2({0}rank + 1.0) END), 0) AS {0}dcg"
+_F1 = "CASE WHEN {0}recall + {0}precision = 0 THEN 0 ELSE 2 * {0}recall * {0}precision / ({0}recall + {0}precision) END"
+_SWEPT = " UNION ALL ".join(f"SELECT '{name}' AS config, * FROM ({_bm25_sql(_MANY, [d for _, d in _COLUMNS.values()], ws, 10, 'query_id, row_id, rank')})" for name, ws in VECTORS.items())
+_MEANS = ", ".join(f"round(avg({_F1.format(p) if m == 'f1' else p + m}), 4) AS {level}_{m}" for level, p in (("file", "f"), ("block", "b")) for m in metrics.MEASURES)
+ORACLES["sweep_grid"] = f"""WITH w AS (SELECT s.*, concat(source, '/', lang) AS folder FROM ({_SWEPT}) s JOIN documents ON row_id = doc_id),
+g AS (SELECT DISTINCT item_id AS query_id, doc_id AS row_id, concat(d.source, '/', d.lang) AS folder FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({TOK.format("b.text")}) > 0),
+gf AS (SELECT DISTINCT query_id, folder FROM g), ng AS (SELECT query_id, count(*) AS bg FROM g GROUP BY query_id), nf AS (SELECT query_id, count(*) AS fg FROM gf GROUP BY query_id),
+f0 AS (SELECT config, query_id, folder, min(rank) AS first FROM w GROUP BY ALL), f1 AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY first) AS rank FROM f0),
+hb AS (SELECT w.config, w.query_id, rank AS brank, CASE WHEN g.row_id IS NULL THEN 0 ELSE 1 END AS bhit FROM w LEFT JOIN g ON w.query_id = g.query_id AND w.row_id = g.row_id),
+hf AS (SELECT f1.config, f1.query_id, rank AS frank, CASE WHEN gf.folder IS NULL THEN 0 ELSE 1 END AS fhit FROM f1 LEFT JOIN gf ON f1.query_id = gf.query_id AND f1.folder = gf.folder),
+q AS (SELECT item_id AS query_id, k, config FROM benchmark CROSS JOIN (SELECT unnest([1, 10]) AS k) CROSS JOIN (SELECT unnest([{", ".join(f"'{n}'" for n in VECTORS)}]) AS config)),
+mb AS (SELECT q.config, q.query_id, k, {_HITS.format("b")} FROM q LEFT JOIN hb ON q.config = hb.config AND q.query_id = hb.query_id GROUP BY ALL),
+mf AS (SELECT q.config, q.query_id, k, {_HITS.format("f")} FROM q LEFT JOIN hf ON q.config = hf.config AND q.query_id = hf.query_id GROUP BY ALL),
+m AS (SELECT mb.*, fn, fh, fdcg, bg, fg FROM mb JOIN mf ON mb.config = mf.config AND mb.query_id = mf.query_id AND mb.k = mf.k LEFT JOIN ng ON mb.query_id = ng.query_id LEFT JOIN nf ON mb.query_id = nf.query_id),
+v AS (SELECT config, query_id, k, {_LEVEL.format("b")}, {_LEVEL.format("f")} FROM m),
+x AS (SELECT *, unnest(CASE WHEN query_id % 3 = 0 THEN ['all'] ELSE ['all', 'keyword'] END) AS subset FROM v)
+SELECT config, subset, CAST(k AS INTEGER) AS k, count(*) AS n_queries, {_MEANS} FROM x GROUP BY config, subset, k"""
