@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -46,10 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove stored tables that nothing reads any more: what was made of them has been stored itself."""
+    """Remove stored tables that nothing reads any more: what was made of them has been stored itself.
+
+    Spark removes the shuffle files of finished jobs when the driver has collected their plans as garbage, which a driver with little to do
+    puts off while the executors' disks fill; so it is asked to.
+    """
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def ship(spark: SparkSession) -> None:
