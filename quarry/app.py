@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,12 @@ def query_table(spark: SparkSession, texts: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, term string, pos int, offset int, size int")
 
 
+class Retriever(Protocol):
+    """What answers queries: (packed results, queries with what was found); the index is one."""
+
+    def search(self, texts: dict[int, str], options: Options | None = None) -> tuple[DataFrame, DataFrame]: ...
+
+
 class Index:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.tables, self.config = spark, Tables(spark, root), config or Config()
@@ -245,7 +252,8 @@ class Index:
 
     def ingest(self, path: str) -> dict[str, int]:
         """Append the chunks of a JSON file; totals become those of this file. Chunks of files that are known stay."""
-        return self._append(records.read_chunks(self.spark, path), None)
+        with records.failing(path):  # a broken chunk ends the run before its version is published
+            return self._append(records.read_chunks(self.spark, path), None)
 
     def rank(self, words: DataFrame, k: int, weights: list[float] | None = None, terms: list[str] | None = None, phrases: bool = True) -> tuple[DataFrame, DataFrame]:
         """(scores, work) of the k best rows for words (query_id, term, pos, offset, size), as in ``blocks.top``; ``terms``: theirs, if they are known and few."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.app import LISTS, Index
 from quarry.functions.text import tokens
-from quarry.plans.queries import _MANY, COLUMNS, TOK, WEIGHTS, _bm25_sql, chunks
+from quarry.plans.queries import _MANY, CHUNKS, COLUMNS, TOK, WEIGHTS, _bm25_sql, chunks
+from quarry.sources import records
 from quarry.sources.tables import SCHEMAS, scratch
 
 
@@ -75,7 +76,22 @@ def index_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.tables.rows("terms", last).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0").select("term", "df", F.lit(last.n_rows).cast("long").alias("n_rows"), F.lit(last.n_tokens).cast("long").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (index_topk, index_upkeep, index_frequencies)}
+def array_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON arrays and read back by splits."""
+    path = scratch(spark)
+    docs = rows(spark, sf_dir).withColumns({"language": F.lit("python"), "symbol_type": F.lit("function")})
+    records.dump_chunks(docs.filter("chunk_text is not null"), path)
+    return records.read_chunks(spark, path).select("file_path", "symbol_name", "end_byte", F.md5(F.col("chunk_text").cast("binary")).alias("hash"))
+
+
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items stand in which documents, and which of their first letters."""
+    texts = chunks(spark, sf_dir).select(F.lit("all").alias("task"), F.col("row_id").alias("id"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("all").alias("task"), F.explode(F.array("text", F.substring("text", 1, 14), F.substring("text", 1, 2))).alias("pattern"))
+    return records.contained(texts, items).select("id", "pattern")
+
+
+QUERIES = {f.__name__: f for f in (index_topk, index_upkeep, index_frequencies, array_chunks, pattern_matches)}
 
 
 def _ranked_sql(k: int, order: str) -> str:
@@ -85,6 +101,8 @@ def _ranked_sql(k: int, order: str) -> str:
 
 _LATE = "CASE row_id % 10 WHEN 2 THEN 1 WHEN 9 THEN 2 WHEN 3 THEN 3 ELSE 0 END, row_id"
 ORACLES = {
+    "array_chunks": CHUNKS + " SELECT printf('/%012d.txt', row_id) AS file_path, symbol_name, end_byte, md5(text) AS hash FROM chunks WHERE text IS NOT NULL",
+    "pattern_matches": """WITH p AS (SELECT DISTINCT unnest([text, substr(text, 1, 14), substr(text, 1, 2)]) AS pattern FROM benchmark) SELECT doc_id AS id, pattern FROM documents JOIN p ON contains(text, pattern)""",
     "index_topk": _ranked_sql(20, "row_id"),
     "index_upkeep": _ranked_sql(10, _LATE).replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 1)"),
     "index_frequencies": f"""WITH w AS (SELECT doc_id, unnest(list_concat({TOK.format("split_part(text, chr(10), 1)")}, {TOK.format("text")})) AS term FROM documents WHERE doc_id % 10 <> 1)

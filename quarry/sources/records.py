@@ -1,16 +1,20 @@
 """Readers of JSON records: chunks cut elsewhere, suites of queries, benchmark records, trajectories.
 
-A JSON array is one record of a file and is read by one task; large inputs come as many files. Numbers in text
-fields are taken as text.
+Arrays of chunks are read by splits; a suite is one record of a file. Numbers in text fields are taken as text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.arrays import read_array
 from quarry.sources.files import LANGUAGES
 
 KINDS = ["function", "class", "method", "struct"]
@@ -40,14 +44,46 @@ def check_chunks(rows: DataFrame) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a JSON array in their order (``place``), checked at once."""
+    """Chunks of JSON arrays in their order (``place``), read by splits; the job that uses them fails at a broken one, so see ``failing``."""
+    with failing(path):
+        spark.read.text(path)  # the path is there
+        raw = read_array(spark, path, f"{REQUIRED}, {OPTIONAL}").select(F.struct("file", "element").alias("place"), "value.*")
+        return check_chunks(raw)
+
+
+@contextmanager
+def failing(path: str) -> Iterator[None]:
+    """Errors of jobs on the chunks of a file, as errors of that file."""
     try:
-        raw = spark.read.schema(f"{REQUIRED}, {OPTIONAL}").option("mode", "FAILFAST").json(path, multiLine=True)
-        rows = check_chunks(raw).withColumn("place", F.monotonically_increasing_id())
-        rows.write.format("noop").mode("overwrite").save()
+        yield
     except (PySparkException, Py4JJavaError) as e:
         raise IngestError(f"{path}: {str(e)[:500]}") from e
-    return rows
+
+
+def dump_chunks(chunks: DataFrame, path: str) -> None:
+    """Write chunks as JSON arrays that ``read_chunks`` reads, one in each file of a folder, in the order of their rows."""
+    names = [c.split()[0] for c in f"{REQUIRED}, {OPTIONAL}".split(", ")]
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            out = []
+            for line in batch.column("line").to_pylist():
+                out.append(before + line)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["line"])
+
+    rows = chunks.select(F.to_json(F.struct(*[c for c in names if c in chunks.columns])).alias("line"))
+    rows.mapInArrow(lines, "line string").write.text(path)
+
+
+def corpus(rows: DataFrame, corpus_id: str) -> DataFrame:
+    """The rows of one corpus of rows (corpus_id, ...); a KeyError if there is none of that id."""
+    own = rows.filter(F.col("corpus_id") == corpus_id)
+    if own.isEmpty():
+        raise KeyError(corpus_id)
+    return own
 
 
 def read_suite(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -122,15 +158,14 @@ def contained(texts: DataFrame, patterns: DataFrame, key: str = "task") -> DataF
     Not every pattern is held against every text: of its runs of ``ANCHOR`` letters a pattern takes the one that the fewest patterns of its key have, and is compared with
     the texts that hold that. Shorter patterns are their own anchors; the empty pattern stands in every text. Nulls stand nowhere.
     """
-    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
-    none = F.array().cast("array<string>")
+    runs = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     own = patterns.select(F.col(key).alias("key"), "pattern").filter("key is not null and pattern is not null").distinct()
     grams = own.filter(F.length("pattern") > ANCHOR).select("key", "pattern", F.explode(F.array_distinct(runs(F.col("pattern"), ANCHOR))).alias("anchor"))
     common = grams.groupBy("key", "anchor").agg(F.count("*").alias("n"))
     rarest = grams.join(common, ["key", "anchor"]).groupBy("key", "pattern").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
     anchors = rarest.unionByName(own.filter(F.length("pattern") <= ANCHOR).select("key", "pattern", F.col("pattern").alias("anchor")))
     rows = texts.select(F.col(key).alias("key"), "id", "text").filter("key is not null and text is not null")
-    every = [F.when(F.length("text") >= n, runs(F.col("text"), n)).otherwise(none) for n in range(1, ANCHOR + 1)]
+    every = [runs(F.col("text"), n) for n in range(1, ANCHOR + 1)]
     held = rows.select("key", "id", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))).alias("anchor"))
     found = held.join(anchors, ["key", "anchor"]).filter(F.contains("text", "pattern"))
     return found.select(F.col("key").alias(key), "id", "pattern").distinct()

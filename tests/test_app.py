@@ -122,3 +122,20 @@ def test_records(spark, tmp_path):
     (tmp_path / "t/two.jsonl").write_text(json.dumps(turn))
     with pytest.raises(Exception, match="no meta line"):
         records.read_trajectories(spark, str(tmp_path / "t"))[1].collect()
+
+
+def test_dumped_chunks_are_read_again(spark, tmp_path):
+    rows = [chunk(symbol_name=f"f{i}", chunk_text='a "}" \\ [\né' * i, imports=["x"] * (i % 3)) for i in range(12)]
+    source = tmp_path / "in.json"
+    source.write_text(json.dumps(rows))
+    first = records.read_chunks(spark, str(source))
+    records.dump_chunks(first.repartition(3), str(tmp_path / "out"))
+    again = records.read_chunks(spark, str(tmp_path / "out"))
+    names = [c for c in first.columns if c != "place"]
+    assert sorted(map(str, again.select(names).collect())) == sorted(map(str, first.select(names).collect())) and first.count() == 12
+    records.dump_chunks(first.limit(0), str(tmp_path / "none"))
+    assert records.read_chunks(spark, str(tmp_path / "none")).count() == 0
+    suite = spark.createDataFrame([("c", 1)], "corpus_id string, place int")
+    assert records.corpus(suite, "c").count() == 1
+    with pytest.raises(KeyError):
+        records.corpus(suite, "d")
