@@ -52,8 +52,8 @@ def discard(*tables: DataFrame) -> None:
     Spark removes the shuffle files of finished jobs when the driver has collected their plans as garbage, which a driver with little to do
     puts off while the executors' disks fill; so it is asked to.
     """
+    jvm = SparkSession.active()._jvm
     for table in tables:
-        jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
