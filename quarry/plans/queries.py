@@ -62,9 +62,7 @@ def corpus_stats(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, queries, columns, weights, k):
-    c = chunks(spark, sf_dir)
-    scores = search.bm25(search.postings(c, columns, queries=queries), search.lengths(c, columns), queries, weights)
-    return search.top_k(_rounded(scores), k)
+    return search.best(chunks(spark, sf_dir), columns, queries, {"": weights or [1.0] * len(columns)}, k).drop("config")
 
 
 def bm25_topk(spark, sf_dir):
@@ -158,19 +156,25 @@ def status_by_language(spark, sf_dir):
 def _gold(spark, sf_dir):
     """Gold rows of a benchmark item: documents that hold its text.
 
-    Rows and items are joined on the item's first four tokens (all, if it has fewer), without texts; the few pairs fetch their
-    texts then. Items without tokens have no gold.
+    Rows and items are joined on the item's first four tokens (all, if it has fewer). A row keeps only its runs of words that begin an
+    item, unless there are many items, and is compared where it lies. Items without tokens have no gold.
     """
     first = lambda words, size: F.array_join(F.slice(words, 1, size), " ")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"), tokens(F.col("text")).alias("w"))
     items = items.select("query_id", "item_text", F.least(F.size("w"), F.lit(4)).alias("n"), first("w", 4).alias("key")).filter("n > 0")
-    sizes = [r[0] for r in items.select("n").distinct().collect()]  # at most four
-    words = chunks(spark, sf_dir).select("row_id", tokens(F.col("text")).alias("w"))
+    heads = items.select("n", "key").distinct().limit(search.FEW_TERMS + 1).collect()
+    few = len(heads) <= search.FEW_TERMS
+    sizes = sorted({r.n for r in heads} if few else {r.n for r in items.select("n").distinct().collect()})  # at most four
+    rows = chunks(spark, sf_dir).select("row_id", "text", tokens(F.col("text")).alias("w"))
     runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    keys = words.select("row_id", F.explode(F.array_distinct(F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<string>"))).alias("key"))
-    pairs = keys.join(items, "key").select("query_id", "item_text", "row_id").distinct()
-    texts = chunks(spark, sf_dir).select("row_id", "text")
-    return pairs.join(texts, "row_id").filter(F.contains("text", "item_text")).select("query_id", F.col("row_id").alias("item")).distinct()
+    every = F.concat(*map(runs, sizes)) if sizes else F.array().cast("array<string>")
+    if few:
+        own = rows.select("row_id", "text", F.explode(F.array_distinct(F.filter(every, lambda r: r.isin([h.key for h in heads])))).alias("key"))
+        found = own.join(F.broadcast(items), "key")
+    else:
+        pairs = rows.select("row_id", F.explode(F.array_distinct(every)).alias("key")).join(items, "key").select("query_id", "item_text", "row_id").distinct()
+        found = pairs.join(chunks(spark, sf_dir).select("row_id", "text"), "row_id")
+    return found.filter(F.contains("text", "item_text")).select("query_id", F.col("row_id").alias("item")).distinct()
 
 
 def ranking_quality(spark, sf_dir):
@@ -208,11 +212,7 @@ GRID = {"default": [10.0, 1.0], "flat": [1.0, 1.0], "name_only": [10.0, 0.0], "b
 
 def weight_sweep(spark, sf_dir):
     """The five best rows of every benchmark item under each weight vector."""
-    c = chunks(spark, sf_dir)
-    queries = _benchmark_terms(spark, sf_dir)
-    scores = _rounded(search.sweep(search.postings(c, COLUMNS, queries=queries), search.lengths(c, COLUMNS), queries, GRID))
-    order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("config", "query_id", "row_id", "score", "rank")
+    return search.best(chunks(spark, sf_dir), COLUMNS, _benchmark_terms(spark, sf_dir), GRID, 5).select("config", "query_id", "row_id", "score", "rank")
 
 
 def _packed(spark, sf_dir):
@@ -260,10 +260,8 @@ def phrase_query(spark, sf_dir):
 
 def search_filtered(spark, sf_dir):
     """The 20 best rows of every benchmark item, of these those of French or German files, packed into 4000 tokens."""
-    c = chunks(spark, sf_dir)
-    queries = _benchmark_terms(spark, sf_dir)
-    scores = _rounded(search.bm25(search.postings(c, ["text"], queries=queries), search.lengths(c, ["text"]), queries))
-    packed, found = search.retrieve(scores, c, 20, 4000, ["/*/fr/**", "de/*.txt"])
+    scores = _ranked(spark, sf_dir, _benchmark_terms(spark, sf_dir), ["text"], None, 20).drop("rank")
+    packed, found = search.retrieve(scores, chunks(spark, sf_dir), 20, 4000, ["/*/fr/**", "de/*.txt"])
     return packed.join(found, "query_id").select("query_id", "row_id", "rank", "tokens", "running", "found")
 
 

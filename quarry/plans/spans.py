@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import intervals, metrics, search, segment
-from quarry.plans.queries import _LINES, _MANY, CHUNKS, TOK, _benchmark_terms, _bm25_sql, _gold, _rounded, chunks
+from quarry.plans.queries import _LINES, _MANY, CHUNKS, TOK, _benchmark_terms, _bm25_sql, _gold, chunks
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +53,7 @@ def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _arm_ranks(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows, _ = _arms(spark, sf_dir)
-    asked = _benchmark_terms(spark, sf_dir)
-    scores = _rounded(search.bm25_arms(search.postings(rows, ["text"], queries=asked, by=("arm",)), search.lengths(rows, ["text"], ("arm",)), asked))
-    order = Window.partitionBy("arm", "query_id").orderBy("score", "row_id")
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return search.best(rows, ["text"], _benchmark_terms(spark, sf_dir), {"": [1.0]}, k, ("arm",)).drop("config")
 
 
 def arm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +86,8 @@ def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six weight vectors over seven columns: means of all measures of files (folders) and blocks (documents), over all items and those taken as keyword queries."""
     c = chunks(spark, sf_dir)
     rows = c.select("row_id", *[F.expr(e).alias(n) for n, (e, _) in _COLUMNS.items()])
-    asked, names = _benchmark_terms(spark, sf_dir), list(_COLUMNS)
-    scores = _rounded(search.sweep(search.postings(rows, names, queries=asked), search.lengths(rows, names), asked, VECTORS))
-    order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
     folder = F.concat_ws("/", "source", "lang").alias("file_path")
-    best = scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").join(c.select("row_id", folder), "row_id")
+    best = search.best(rows, list(_COLUMNS), _benchmark_terms(spark, sf_dir), VECTORS, 10).join(c.select("row_id", folder), "row_id")
     pair = lambda df: df.withColumn("query_id", F.struct("config", "query_id")).drop("config")
     every = F.explode(F.array(*map(F.lit, VECTORS))).alias("config")
     gold = _gold(spark, sf_dir).select("query_id", "item", every)

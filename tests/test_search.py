@@ -1,3 +1,4 @@
+import re
 import sqlite3
 
 import pytest
@@ -127,3 +128,29 @@ def test_folding_equals_fts5_in_all_of_unicode(spark):
         assert words == want.get(i, []), texts[i]
         if i >= len(letters):
             assert query_terms(texts[i].replace("_", " ")) == words
+
+
+@pytest.mark.parametrize(("few", "block"), [(5_000, 2_000_000), (5_000, 1), (1, 2_000_000)])
+def test_best_rows_equal_scoring_all_and_shuffle_no_pairs(spark, monkeypatch, few, block):
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(search, "FEW_TERMS", few)
+    monkeypatch.setattr(search, "BLOCK", block)
+    texts = [" ".join("abcdefgh"[(i * j) % (3 + i % 6)] for j in range(i % 13)) for i in range(60)]
+    rows = [(arm, i, t[:3], None if i == 7 else t) for arm in ("x", "y") for i, t in enumerate(texts) if arm == "x" or i % 2]
+    chunks = spark.createDataFrame(rows, "arm string, row_id long, name string, body string").repartition(3)
+    queries = spark.createDataFrame([(q, t, p) for q, text in ((5, "abca"), (6, "gh"), (9, "zzb"), (11, "z")) for p, t in enumerate(text)], "query_id long, term string, pos int")
+    vectors, columns = {"both": [10.0, 2.0], "name": [1.0, 0.0]}, ["name", "body"]
+    whole = chunks.filter("arm = 'x'").drop("arm")
+    scores = search.sweep(search.postings(whole, columns), search.lengths(whole, columns), queries, vectors).withColumn("score", F.round(F.col("score") * 1e6).cast("long"))
+    order = Window.partitionBy("config", "query_id").orderBy("score", "row_id")
+    want = {tuple(r) for r in scores.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").collect()}
+    found = search.best(whole, columns, queries, vectors, 3)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 9
+    if few > 1:
+        keys = re.findall(r"hashpartitioning\((.*?)\)", found._jdf.queryExecution().executedPlan().toString())
+        assert keys and all("query_id" in x and "row_id" not in x for x in keys)
+    arms = search.bm25_arms(search.postings(chunks, columns, queries=queries, by=("arm",)), search.lengths(chunks, columns, ("arm",)), queries, vectors["both"])
+    order = Window.partitionBy("arm", "query_id").orderBy("score", "row_id")
+    arms = arms.withColumn("score", F.round(F.col("score") * 1e6).cast("long")).withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
+    assert {tuple(r) for r in search.best(chunks, columns, queries, {"both": vectors["both"]}, 3, ("arm",)).drop("config").collect()} == {tuple(r) for r in arms.collect()}
