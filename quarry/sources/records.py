@@ -14,6 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.search import FEW_TERMS, MANY_TERMS
 from quarry.sources.arrays import read_array
 from quarry.sources.files import LANGUAGES
 
@@ -148,15 +149,16 @@ def grep_blocks(observation: Column) -> Column:
     return F.array_distinct(F.zip_with(path, names, lambda p, n: F.struct(p.alias("file_path"), n.alias("symbol_name"))))
 
 
-#: Letters of an anchor.
-ANCHOR = 3
+#: Letters of an anchor: more make it rarer in texts.
+ANCHOR = 8
 
 
 def contained(texts: DataFrame, patterns: DataFrame, key: str = "task") -> DataFrame:
     """(key, id, pattern): which patterns (key, pattern) stand in which texts (key, id, text) of the same key; each pair once.
 
     Not every pattern is held against every text: of its runs of ``ANCHOR`` letters a pattern takes the one that the fewest patterns of its key have, and is compared with
-    the texts that hold that. Shorter patterns are their own anchors; the empty pattern stands in every text. Nulls stand nowhere.
+    the texts that hold that. Shorter patterns are their own anchors; the empty pattern stands in every text. Nulls stand nowhere. Anchors go to all tasks and
+    are compared where a text lies, so that no text is shuffled, and of few a text keeps only those that there are; beyond ``MANY_TERMS`` they are joined without texts.
     """
     runs = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
     own = patterns.select(F.col(key).alias("key"), "pattern").filter("key is not null and pattern is not null").distinct()
@@ -165,9 +167,17 @@ def contained(texts: DataFrame, patterns: DataFrame, key: str = "task") -> DataF
     rarest = grams.join(common, ["key", "anchor"]).groupBy("key", "pattern").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
     anchors = rarest.unionByName(own.filter(F.length("pattern") <= ANCHOR).select("key", "pattern", F.col("pattern").alias("anchor")))
     rows = texts.select(F.col(key).alias("key"), "id", "text").filter("key is not null and text is not null")
-    every = [runs(F.col("text"), n) for n in range(1, ANCHOR + 1)]
-    held = rows.select("key", "id", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *every))).alias("anchor"))
-    found = held.join(anchors, ["key", "anchor"]).filter(F.contains("text", "pattern"))
+    sizes = sorted(r.n for r in anchors.select(F.length("anchor").alias("n")).distinct().collect())  # at most ANCHOR + 1
+    known = [r.anchor for r in anchors.select("anchor").distinct().limit(FEW_TERMS + 1).collect()]
+    every = F.concat(F.array().cast("array<string>"), *[runs(F.col("text"), n) if n else F.array(F.lit("")) for n in sizes])
+    if len(known) <= FEW_TERMS:
+        every = F.filter(every, lambda r: r.isin(known))
+    held = F.explode(F.array_distinct(every)).alias("anchor")
+    if anchors.limit(MANY_TERMS + 1).count() <= MANY_TERMS:
+        found = rows.select("key", "id", "text", held).join(F.broadcast(anchors), ["key", "anchor"])
+    else:
+        found = rows.select("key", "id", held).join(anchors, ["key", "anchor"]).select("key", "id", "pattern").distinct().join(rows, ["key", "id"])
+    found = found.filter(F.contains("text", "pattern"))
     return found.select(F.col("key").alias(key), "id", "pattern").distinct()
 
 

@@ -119,3 +119,21 @@ def test_results_of_many_queries_are_healed_at_once(spark, tmp_path):
     assert healed == {"files_checked": 3, "files_reindexed": 1, "files_dropped": 1}
     assert names(packed) == {(0, "load.py", "load_all"), (2, "keep.py", "keep")}
     assert {r.query_id: r.found for r in asked.collect()} == {0: 1, 1: 0, 2: 1, 3: 0} and index.latest().changes > before - 1
+
+
+@pytest.mark.parametrize(("few", "many"), [(5_000, 200_000), (1, 200_000), (1, 1)])
+def test_patterns_are_found_without_a_shuffle_of_texts(spark, monkeypatch, few, many):
+    monkeypatch.setattr(records, "FEW_TERMS", few)
+    monkeypatch.setattr(records, "MANY_TERMS", many)
+    texts = [("t", i, "\n".join("the same long words and " + "abcé😀z"[(i * j) % 6] for j in range(i))) for i in range(12)] + [("u", 1, "the same long words"), ("u", 2, None)]
+    patterns = [("t", p) for p in ("the same long words", "words and a\nthe", "😀", "and é\nthe same", "ab", "", "same lon", "not there at all", None)] + [("u", "long words")]
+    found = records.contained(spark.createDataFrame(texts, "task string, id int, text string"), spark.createDataFrame(patterns, "task string, pattern string"))
+    want = {(k, i, p) for k, i, text in texts for j, p in patterns if j == k and text is not None and p is not None and p in text}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 40
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = records.contained(spark.createDataFrame(texts, "task string, id int, text string"), spark.createDataFrame(patterns, "task string, pattern string"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("BroadcastHashJoin" in plan) == (many > 1)
