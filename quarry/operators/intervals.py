@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,9 +117,34 @@ def drop_overlaps(ranked: DataFrame) -> DataFrame:
     whole = ranked.filter("start_byte is not null and end_byte is not null and file_path is not null")
     rows = islands(whole, ["query_id", "file_path"])
 
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "start_byte", "end_byte"], kind="stable")
-        return group[best_first(group["start_byte"].tolist(), group["end_byte"].tolist())].drop(columns="island")
+    keys = ["query_id", "file_path", "island"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.asc_nulls_last("rank"), "start_byte", "end_byte")
 
-    kept = rows.groupBy("query_id", "file_path", "island").applyInPandas(greedy, ranked.schema)
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the group that the rows read so far end with
+
+        def settled(batch: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            starts, ends = (batch.column(c).to_pylist() for c in ("start_byte", "end_byte"))
+            stay = [x for lo, hi in zip(cuts, cuts[1:], strict=False) for x in best_first(starts[lo:hi], ends[lo:hi])]
+            return batch.slice(0, len(stay)).filter(pa.array(stay, pa.bool_())).select(names)
+
+        own = lambda batch, i: [batch.column(c)[i].as_py() for c in keys]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and own(held[0], 0) == own(batch, batch.num_rows - 1):
+                held.append(batch)
+                continue
+            whole = pa.concat_batches([*held, batch])
+            groups = list(zip(*(whole.column(c).to_pylist() for c in keys), strict=True))
+            cuts = [i for i, g in enumerate(groups) if not i or g != groups[i - 1]]
+            if len(cuts) > 1:
+                yield settled(whole, cuts)
+            held = [whole.slice(cuts[-1])]
+        if held:
+            whole = pa.concat_batches(held)
+            yield settled(whole, [0, whole.num_rows])
+
+    names = ranked.columns
+    kept = rows.mapInArrow(greedy, ranked.schema)
     return kept.unionByName(ranked.filter("start_byte is null or end_byte is null or file_path is null"))

@@ -118,3 +118,22 @@ def test_words_are_filtered_within_rows_or_joined(spark, monkeypatch, few):
     got = search.postings(rows, ["t", "u"], positions=True, queries=asked)
     assert sorted((r.term, r.row_id, r.col_id, r.tf, r.positions, r.doc_len) for r in got.collect()) == [("a", 1, 0, 2, [0, 2], 5), ("c", 1, 0, 1, [3], 5), ("c", 2, 1, 2, [0, 1], 2)]
     assert search.postings(rows, ["t", "u"], queries=asked).count() == 3
+
+
+def test_small_lists_are_taken_in_batches(spark):
+    rows = [(q, (i * 7919) % 1009, f"/{f}", i * 5 % 90, i * 5 % 90 + 3 + i % 17, i) for q in range(5) for f in range(40) for i in range(q * 30)]
+    ranked = spark.createDataFrame(rows, "query_id int, rank int, file_path string, start_byte long, end_byte long, row_id int")
+    want = set()
+    for q, f in {(r[0], r[2]) for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[0] == q and r[2] == f), key=lambda r: (r[1], r[3], r[4])):
+            if not any((a, b) == r[3:5] or a < r[3] < b < r[4] or r[3] < a < r[4] < b for a, b in kept):
+                kept.append(r[3:5])
+                want.add(r)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = intervals.drop_overlaps(ranked)
+        assert {tuple(r) for r in found.collect()} == want
+        assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
