@@ -93,7 +93,7 @@ class Index:
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row_id", F.monotonically_increasing_id() + first)
         lengths = [F.size(tokens(F.array_join(c, "\n") if c in LISTS else F.col(c))) for c in WEIGHTS]
         written = self.tables.write("chunks", rows.withColumn("doc_len", sum(lengths).cast("long")), segment)
-        return written, self.tables.write("postings", blocks.sort(blocks.postings(indexed(written), list(WEIGHTS))), segment)
+        return written, self.tables.write("postings", blocks.postings(indexed(written), list(WEIGHTS)), segment)
 
     def _commit(self, base: Version, rows: DataFrame, gone: DataFrame | None, files: Callable[[DataFrame, int], DataFrame], totals: Callable[[DataFrame], dict[str, str]]) -> dict[str, int]:
         """One new version of ``base``: chunks come, those of the files ``gone`` (file_path) go; {n_files, n_chunks} that came.
@@ -106,17 +106,19 @@ class Index:
         came = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens"), F.max("row_id").alias("top"), F.countDistinct("file_path").alias("files")).first()
         changes, went, has = blocks.frequencies(postings), None, ["chunks", "postings", "terms"] * (came.n > 0)
         if gone is not None:
-            old = self.tables.chunks(base).join(gone, "file_path", "left_semi").persist()
+            # paths find the row ids, and their bitmaps the rows: no text is shuffled
+            ids = self.tables.chunks(base).select("row_id", "file_path").join(gone, "file_path", "left_semi")
+            marks = self.tables.write("deleted", blocks.bitmaps(ids), segment)
+            old = blocks.among(self.tables.rows("chunks", base), marks)
             went = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("tokens")).first()
             if went.n:
-                changes = changes.unionByName(blocks.frequencies(blocks.postings(indexed(old), list(WEIGHTS)), -1))
-                self.tables.write("deleted", blocks.bitmaps(old), segment)
+                changes = changes.unionByName(blocks.word_rows(indexed(old), list(WEIGHTS), -1))
                 has = [*dict.fromkeys([*has, "terms", "deleted"])]
+            else:
+                self.tables.remove("deleted", segment)
         if has:
             sums = changes.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
             self.tables.write("terms", sums.repartitionByRange("term").sortWithinPartitions("term"), segment)
-        if gone is not None:
-            old.unpersist()
         state = totals(self.tables.write("files", files(written, base.number + 1), segment))
         lost = went.n if went else 0
         version = replace(base, changes=base.changes + 1, files=segment, n_rows=base.n_rows + came.n - lost, n_tokens=base.n_tokens + came.tokens - (went.tokens if went else 0), state=base.state | state)
@@ -134,7 +136,7 @@ class Index:
         """Merge the newest segments into one, as many as are about alike in size, if these are ``FAN`` at least; with ``whole`` all segments.
 
         A segment is merged again only when the newer ones have grown to a ``FAN``-th of it, so each row is rewritten a logarithmic number of times. Deleted rows go; bitmaps stay
-        only for rows of older segments. False if there is nothing to merge, or if another compaction was faster.
+        only for rows of older segments. Postings are made anew of the rows, where these are read. False if there is nothing to merge, or if another compaction was faster.
         """
         base = self.latest()
         parts, size = [], 0
@@ -146,9 +148,9 @@ class Index:
             return False
         some, segment = replace(base, segments=parts), uuid.uuid4().hex
         deleted, first = self.tables.deleted(some), parts[0].first
-        rows = self.tables.chunks(some).repartitionByRange("row_id").sortWithinPartitions("row_id")
-        n = self.tables.write("chunks", rows, segment).count()
-        self.tables.write("postings", blocks.sort(blocks.merge(self.tables.rows("postings", some), deleted)), segment)
+        rows = self.tables.write("chunks", self.tables.chunks(some).sortWithinPartitions("row_id"), segment)
+        n = rows.count()
+        self.tables.write("postings", blocks.postings(indexed(rows), list(WEIGHTS)), segment)
         sums = self.tables.rows("terms", some).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         self.tables.write("terms", sums.repartitionByRange("term").sortWithinPartitions("term"), segment)
         has = ["chunks", "postings", "terms"]

@@ -4,7 +4,7 @@ A segment is what one commit wrote, in folders of its own name; nothing in it ch
 the segments that count, with totals and state. It appears whole, by a link or a rename that fails where the name is taken: of two
 writers one publishes a version, and readers of older versions keep their segments. Folders of failed or overtaken commits are never read.
 
-chunks: rows by file, ids growing. postings: blocks by term and row ids. terms: how a commit changed document frequencies. deleted: bitmaps of the row ids that it
+chunks: rows by file, ids growing. postings: blocks of the rows of a file of chunks, by term and row ids. terms: how a commit changed document frequencies. deleted: bitmaps of the row ids that it
 took out of earlier segments. files: all files of a version, one row each.
 """
 
@@ -147,9 +147,13 @@ class Tables:
     def write(self, name: str, rows: DataFrame, segment: str) -> DataFrame:
         """Write a table of a segment, and give it as read back."""
         columns = [c.name for c in self.spark.createDataFrame([], SCHEMAS[name]).schema]
-        rows.select(columns).write.parquet(f"{self.root}/{name}/{segment}")
+        rows.select(columns).write.option("compression", "zstd").parquet(f"{self.root}/{name}/{segment}")
         return self._read(name, [segment])
 
+    def remove(self, name: str, segment: str) -> None:
+        """Remove a table of a segment that no version names."""
+        Log(self.spark, f"{self.root}/{name}").delete(segment)
+
     def _read(self, name: str, segments: list[str]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], SCHEMAS[name])
@@ -172,7 +176,7 @@ class Tables:
         return blocks.live(rows if ids is None else rows.filter(F.col("row_id").isin(ids)), self.deleted(version))
 
     def corpus(self, version: Version, terms: list[str] | None = None) -> blocks.Corpus:
-        """What scores need; with ``terms`` only theirs: files are sorted by term, so others are skipped."""
+        """What scores need; with ``terms`` only theirs: each file is sorted by term, so pages of others are skipped."""
         own = lambda df: df if terms is None else df.filter(F.col("term").isin(terms))
         return blocks.Corpus(own(self.rows("postings", version)), own(self.rows("terms", version)), self.deleted(version), version.n_rows, version.n_tokens)
 
@@ -185,5 +189,5 @@ class Tables:
         for v in old:
             self.log.delete(f"{v.number:010d}.json")
         for table, segment in gone:
-            Log(self.spark, f"{self.root}/{table}").delete(segment)
+            self.remove(table, segment)
         return len(gone)

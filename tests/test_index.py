@@ -211,3 +211,22 @@ def test_bitmaps_mark_rows(spark):
     marks = blocks.bitmaps(spark.createDataFrame([(i,) for i in ids], "row_id long")).unionByName(blocks.bitmaps(spark.createDataFrame([(7,)], "row_id long")))
     rows = spark.createDataFrame([(i + d, d) for i in ids for d in (-1, 0, 1)], "row_id long, d int").filter("row_id > 0")
     assert sorted({r.row_id for r in blocks.live(rows, marks).collect()}) == sorted({i + d for i in ids for d in (-1, 0, 1)} - {*ids, 7, 0})
+
+
+def test_postings_are_made_where_rows_lie_and_blocks_in_parts_change_nothing(spark, index, small_blocks, monkeypatch):
+    monkeypatch.setattr(blocks, "TOKENS", 50)  # blocks come in several parts
+    index.put(chunks(spark, [(f"f{i:02d}", prose(2), prose(rng.choice([5, 30, 90]))) for i in range(60)] + [("none", None, None)]))
+    index.put(chunks(spark, [("f07", "w0", prose(9))]), spark.createDataFrame([("f11",), ("f12",)], "file_path string"))
+    last = index.latest()
+    rows = index.tables.rows("postings", last)
+    assert rows.groupBy("term", "block").count().filter("count > 1").count() > 0
+    made = blocks.postings(index.tables.rows("chunks", last).withColumns({c: F.array_join(c, "\n") for c in ("imports", "cross_references")}), list(WEIGHTS))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    plain = {q: t for q, t in TEXTS.items() if "_" not in t}
+    scores = full(index, TEXTS)
+    near = index.rank(query_table(spark, plain), 6, phrases=False)[0]
+    assert ranked(near) == best({p: s for p, s in scores.items() if p[0] in plain}, 6)
+    assert "Generate" not in near._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # no row of a (query, row) pair is made for all
+    assert ranked(index.rank(query_table(spark, TEXTS), 6)[0]) == best(scores, 6)
+    monkeypatch.setattr(blocks, "FEW_TERMS", 0)
+    assert ranked(index.rank(query_table(spark, plain), 6, phrases=False)[0]) == ranked(near)
