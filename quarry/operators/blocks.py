@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import tokens
-from quarry.operators.search import BLOCK, CELLS, FEW_TERMS, K1, MANY_TERMS, B
+from quarry.operators.search import BLOCK, CELLS, FEW_TERMS, K1, B, few
 
 #: Row ids of a block (fixed value), and tokens that a task gathers at once.
 ROWS = 1024
@@ -155,11 +155,6 @@ def _row_id(row: Column) -> Column:
     return (F.col("block") * ROWS + row).alias("row_id")
 
 
-def _few(words: DataFrame) -> DataFrame:
-    """Words of queries, for all tasks unless they are very many, so that no posting is shuffled to find them."""
-    return words if words.limit(MANY_TERMS + 1).count() > MANY_TERMS else F.broadcast(words)
-
-
 def _phrases(corpus: Corpus, words: DataFrame, weights: list[float]) -> DataFrame:
     """(query_id, pos, block, row_id, f, doc_len) of the rows in which a phrase's terms stand next to each other in a column."""
     cells = F.flatten(F.transform("tf", lambda n, cell: F.array_repeat(cell, n)))  # of each position
@@ -327,13 +322,13 @@ def top(corpus: Corpus, words: DataFrame, weights: list[float], k: int, phrases:
         if found:
             return found
     single = words.filter("size = 1").select("query_id", "term", "pos")
-    df = corpus.frequency.join(_few(single.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    single = _few(single.join(df, "term").select("query_id", "term", "pos", corpus.idf(F.col("df")).alias("idf")))
+    df = corpus.frequency.join(few(single.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    single = few(single.join(df, "term").select("query_id", "term", "pos", corpus.idf(F.col("df")).alias("idf")))
     bounds = corpus.blocks.select("term", "block", "n", "max_tf", "min_len").join(single, "term")
     bounds = bounds.select("query_id", "block", "n", corpus.part(F.col("idf"), _weighted(F.col("max_tf"), weights), F.col("min_len")).alias("bound"))
     exact = None
     if phrases:
-        hits = _phrases(corpus, _few(words.filter("size > 1")), weights)
+        hits = _phrases(corpus, few(words.filter("size > 1")), weights)
         seen = hits.groupBy("query_id", "pos").agg(F.count("*").alias("df"))
         exact = hits.join(seen, ["query_id", "pos"]).select("query_id", "block", "row_id", corpus.part(corpus.idf(F.col("df")), F.col("f"), F.col("doc_len")).alias("part"))
         rows = exact.groupBy("query_id", "block", "row_id").agg(F.sum("part").alias("part"))  # of all phrases of a query

@@ -137,3 +137,12 @@ def test_small_lists_are_taken_in_batches(spark):
         assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_words_of_queries_bring_no_rows_of_a_word_to_one_task(spark):
+    chunks = spark.createDataFrame([(i, "a b c a b", "b c") for i in range(30)], "row_id long, t string, u string")
+    asked = spark.createDataFrame([(0, "a", 0, 0, 2), (0, "b", 0, 1, 2), (0, "c", 1, 0, 1)], "query_id long, term string, pos int, offset int, size int")
+    scores = search.bm25(search.postings(chunks, ["t", "u"], positions=True), search.lengths(chunks, ["t", "u"]), asked)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [term" not in plan and "SortMergeJoin [query_id" not in plan
+    assert scores.count() == 30 and len({r.score for r in scores.collect()}) == 1
