@@ -14,7 +14,11 @@ pair. ``j`` is about a quarter of ``k``. Blocks depend on the size class of the
 Groups. A signature list isn't expanded into pairs. All members are compared with one pivot; after that, lists
 whose members are all connected are done, lists of up to ``small`` members give their unconnected pairs, and
 longer ones take the next pivot. After ``rounds`` pivots, what is left in the lists of one largest component is
-compared in blocks of documents: a task gets two blocks and gives verified links only, so no link is lost.
+compared in blocks of documents: a task gets two blocks and gives verified links only, so no component is lost.
+
+Counts. The links found so connect what all links connect, but aren't all of them. For ``n_links`` all pairs of classes of a component that can
+reach the similarity by their sizes are compared in blocks, of which a task gives the count of each class only. Copies
+aren't expanded: a class counts as many documents as it has.
 
 Null and empty texts, and texts without words, have an empty set and no link. Fewer words than a shingle are one
 shingle. A doc_id names one text; repeated rows count once as a class member and come out as often as they went
@@ -23,6 +27,8 @@ in. Rows without a doc_id get no component. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -167,14 +173,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rare: int = RARE, small: int = SMALL, rounds: int = ROUNDS):
-    """(classes, edges): classes(doc_id, n, class) of all documents and verified links (a, b) between classes.
+    """(classes, label, reps, sets): classes(doc_id, n, class, copies) of all documents, the components label(node, component) of linked classes, the
+    classes with words reps(class, n, copies), and the whole sets(doc_id, tokens) of those that may be linked.
 
-    The links connect all that the whole set of links connects.
+    The links compared for it connect all that the whole set of links connects.
     """
     base = stored(sketch(docs, size, percent, prefix=False))
-    reps = base.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class"))
+    reps = base.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class"), F.countDistinct("doc_id").alias("copies"))
     reps = stored(reps)
-    classes = base.join(reps, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"))
+    classes = base.join(reps, ["h1", "h2", "n"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class"), "copies")
     # equal sets have equal prefixes, so any copy's will do
     full = sketch(docs, size, percent).filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix")).filter("doc is not null")
     postings = full.select("doc", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("token"))
@@ -221,7 +228,7 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, rare: int =
         edges = found if edges is None else edges.unionByName(found)
         label = stored(components(edges))
         sigs = sigs.filter("doc <> pivot" if turn else f"members <= {small} or doc <> pivot").select("sig", *NODE)
-    return classes, edges, label
+    return classes, label, reps.select("class", "n", "copies"), sets
 
 
 #: A member of a list: document, set size, prefix length, and prefix hashes that are shared.
@@ -254,14 +261,14 @@ def _with_labels(sigs: DataFrame, label: DataFrame) -> DataFrame:
     return sigs.select("sig", *NODE).join(label.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", *NODE, F.coalesce("component", "doc").alias("label"))
 
 
-def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> set[tuple[int, int]]:
-    """Linked pairs (a, b), a < b, of two blocks of (document, tokens), by products of their incidence over common tokens."""
-    ta, tb = (np.concatenate([t for _, t in side]) for side in (left, right))
+def linked(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of two blocks of sets reach the similarity, by products of their incidence over common tokens."""
+    ta, tb = np.concatenate(left), np.concatenate(right)
     common = np.intersect1d(ta, tb)
-    na, nb = (np.array([len(t) for _, t in side]) for side in (left, right))
+    na, nb = (np.array([len(t) for t in side]) for side in (left, right))
     ra, rb = np.repeat(np.arange(len(left)), na), np.repeat(np.arange(len(right)), nb)
     ca, cb = np.searchsorted(common, ta), np.searchsorted(common, tb)
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(left), len(right)), np.int64)
     for lo in range(0, len(common), 4096):
         part = common[lo : lo + 4096]
         x, y = np.zeros((len(left), len(part)), np.float32), np.zeros((len(right), len(part)), np.float32)
@@ -269,11 +276,71 @@ def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.nd
             keep = (c >= lo) & (c < lo + len(part))
             keep[keep] = common[c[keep]] == t[keep]
             m[r[keep], c[keep] - lo] = 1
-        both += x @ y.T
-    i, j = np.nonzero(100 * both >= percent * (na[:, None] + nb[None, :] - both))
+        both += (x @ y.T).astype(np.int64)
+    return 100 * both >= percent * (na[:, None] + nb[None, :] - both)
+
+
+def block_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> set[tuple[int, int]]:
+    """Linked pairs (a, b), a < b, of two blocks of (document, tokens)."""
+    i, j = np.nonzero(linked([t for _, t in left], [t for _, t in right], percent))
     return {(min(a, b), max(a, b)) for a, b in ((left[p][0], right[q][0]) for p, q in zip(i.tolist(), j.tolist(), strict=True)) if a != b}
 
 
+def link_counts(label: DataFrame, reps: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, tokens: int = TOKENS) -> DataFrame:
+    """(class, others): how many documents of other classes each class of label (node, component) is linked with.
+
+    Two classes of a component are linked. A larger component that fits a block is compared as a whole. One that doesn't is cut by set size, so that a linked
+    pair's parts are the same or neighbours, and each part into blocks by hash. Each block is compared within; with the others of both parts it meets in
+    cells of about as many blocks as their root on either side, so that no task gets them all and a block goes to few tasks.
+    """
+    nodes = label.join(reps, label.node == reps["class"]).select("component", F.col("node").alias("doc"), "n", "copies")
+    groups = nodes.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum("copies").alias("together"))
+    nodes = stored(nodes.join(groups, "component"))
+    twos = nodes.filter("k = 2").select(F.col("doc").alias("class"), (F.col("together") - F.col("copies")).alias("others"))
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    large = F.expr(f"k > {block} or all > {tokens}")
+    nodes = nodes.filter("k > 2").select("component", "doc", "n", "copies", large.alias("large"), F.when(large, F.floor(F.log("n") / width)).otherwise(0).alias("part"))
+    parts = stored(nodes.filter("large").groupBy("component", "part").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / tokens)).alias("blocks")))
+    nodes = nodes.join(parts, ["component", "part"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc"), "blocks"), F.lit(0)))
+    rows = nodes.join(sets.select(F.col("doc_id").alias("doc"), "tokens"), "doc")
+    blocks = stored(rows.groupBy("component", "part", "block").agg(F.first("large").alias("large"), F.collect_list(F.struct("doc", "copies", "tokens")).alias("x")))
+    side = parts.withColumn("side", F.ceil(F.sqrt("blocks")))
+    cut = blocks.filter("large").join(side, ["component", "part"]).withColumn("at", F.pmod("block", "side"))
+    # a cell has the blocks at i of a part and those at j of the same part or the next
+    sides = lambda by: side.select("component", (F.col("part") + by).alias("part"), F.col("side").alias("more"))
+    cell = ["component", "part", "next", "i", "j"]
+    both = []
+    for own, other, place in (("i", "j", "x"), ("j", "i", "y")):
+        same = cut.withColumn("more", F.expr("sequence(at, side - 1)" if own == "i" else "sequence(0L, at)")).withColumn("next", F.lit(0))
+        near = cut.join(sides(-1 if own == "i" else 1), ["component", "part"]).withColumn("more", F.expr("sequence(0L, more - 1)")).withColumn("next", F.lit(1))
+        every = same.unionByName(near).withColumn("part", F.col("part") - (F.col("next") if own == "j" else 0))
+        both.append(every.select("component", "part", "next", F.col("at").alias(own), F.explode("more").alias(other), F.col("block").alias(f"block_{place}"), F.col("x").alias(place)))
+    cross = both[0].join(both[1], cell).filter("next = 1 or i < j or block_x < block_y").select("x", "y")
+
+    def members(v: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        return v.values.field("doc").to_numpy(), v.values.field("copies").to_numpy(), [t.values.to_numpy() for t in v.values.field("tokens")]
+
+    def counts(docs: list[np.ndarray], others: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs), pa.int64()), pa.array(np.concatenate(others), pa.int64())], ["class", "others"])
+
+    def within(batches):
+        for batch in batches:
+            for docs, copies, own in map(members, batch.column("x")):
+                m = linked(own, own, percent)
+                np.fill_diagonal(m, False)
+                yield counts([docs], [m @ copies])
+
+    def between(batches):
+        for batch in batches:
+            for (a, na, x), (b, nb, y) in zip(map(members, batch.column("x")), map(members, batch.column("y")), strict=True):
+                m = linked(x, y, percent)
+                yield counts([a, b], [m @ nb, na @ m])
+
+    text_batches(label.sparkSession)
+    found = blocks.select("x").mapInArrow(within, "class long, others long").unionAll(cross.mapInArrow(between, "class long, others long"))
+    return twos.unionAll(found.groupBy("class").agg(F.sum("others").alias("others")))
+
+
 def _in_blocks(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the members of lists with the same largest component that aren't in it, and all members."""
     rows = stored(sigs.select("major", "doc", "label", "n").distinct())
@@ -294,16 +361,19 @@ def _in_blocks(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.select("major", "x").join(right.select("major", "y"), "major").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, **limits) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, counted: bool = True, block: int = BLOCK, tokens: int = TOKENS, **limits) -> DataFrame:
+    """(doc_id, n_shingles, component_id[, n_links]) of every row of ``docs`` (doc_id, text).
 
-    component_id: the smallest doc_id reachable by links; null without a doc_id. n_links: the verified links of the document's class that were
-    kept. These connect what all links connect, but within a connected group not every pair is compared, so it isn't the number of all.
+    component_id: the smallest doc_id reachable by links; null without a doc_id. n_links: with how many other documents a document is linked, its
+    copies included; left out if not ``counted``.
     """
-    classes, edges, label = links(docs, size, percent, **limits)
-    degree = edges.select(F.col("a").alias("class")).unionAll(edges.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    classes, label, reps, sets = links(docs, size, percent, **limits)
+    if counted:
+        label = label.join(link_counts(label, reps, sets, percent, block, tokens), F.col("node") == F.col("class"), "left").drop("class")
     # stored, so that the copies of one text can be dealt anew in the join
-    label = stored(label.join(degree, label.node == degree["class"], "left").select("node", "component", "n_links"))
+    label = stored(label)
     out = classes.join(label, classes["class"] == label.node, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = F.col("doc_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "class"))
+    n_links = F.when(known & F.col("copies").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long") if counted else None
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *[n_links.alias("n_links")] * counted)

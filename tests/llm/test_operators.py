@@ -68,6 +68,22 @@ def test_near_duplicates(spark, corpus, limits):
     assert got == components_of(corpus)
 
 
+@pytest.mark.parametrize("limits", [{}, {"block": 7}, {"tokens": 300}])
+def test_links_of_near_duplicates_are_all_counted(spark, corpus, limits):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(words[i : i + 100 + i % 40]) for i in range(0, 120, 4)]  # of many sizes, linked with some neighbours only
+    texts = [*corpus, *chain, *chain[3:6], *(" ".join(rng.sample(words, 3)) for _ in range(4))]
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    like = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(like(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(table(spark, texts), **limits).collect()}
+    assert got == want
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert ngram_join.near_duplicates(table(spark, ["x"]).limit(0)).count() == 0
 
