@@ -375,5 +375,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, c
     out = classes.join(label, classes["class"] == label.node, "left")
     known = F.col("doc_id").isNotNull()
     component = F.when(known, F.coalesce("component", "class"))
-    n_links = F.when(known & F.col("copies").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long") if counted else None
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *[n_links.alias("n_links")] * counted)
+    out = out.withColumn("n_shingles", F.col("n")).withColumn("component_id", component)
+    if counted:
+        out = out.withColumn("n_links", F.when(known & F.col("copies").isNotNull(), F.col("copies") - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long"))
+    return out.select("doc_id", "n_shingles", "component_id", *["n_links"] * counted)
