@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -47,17 +48,23 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove stored tables that nothing reads any more: what was made of them has been stored itself.
-
-    Spark removes the shuffle files of finished jobs when the driver has collected their plans as garbage, which a driver with little to do
-    puts off while the executors' disks fill; so it is asked to.
-    """
+    """Remove stored tables that nothing reads any more: what was made of them has been stored itself."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs.
+
+    It does so when the driver has collected their plans as garbage, which a driver with little to do puts off while the executors' disks
+    fill; so it is asked to, twice, as once leaves what something else still held of the last job.
+    """
+    for pause in (0.2, 0.0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def ship(spark: SparkSession) -> None:

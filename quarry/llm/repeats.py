@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, chunks, discard, list_array, shingles, signed, stored, text_batches
+from ._common import Words, chunks, discard, list_array, shingles, signed, stored, text_batches, tidy
 
 K, SHARE, WINDOW = 6, 5, 24
 #: Words on each side of a seed that are compared through bitmaps of 32 bits, and bits that must agree on one side for a lone seed to count.
 BESIDE, AGREE = 12, 6
+#: Parts of all hashes: a seed's rows lie in one, and a task holds one at a time. Bytes of a seed's row, and rows given out at once.
+PARTS, ROW_BYTES, ROWS = 1024, 32, 200_000
 #: Shared seeds of a run.
 RUN = 4
 GAP = 0.1
@@ -76,28 +78,74 @@ def seed_places(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return runs, np.flatnonzero((start + K <= last) & (sampled(runs) | minimisers(runs, start + K + WINDOW - 1 <= last)))
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """(doc_id, seed, at, times, beside): each seed of a document, by its place in words, how often the document has it, and the words beside it as two bitmaps."""
+def _seed_blocks(docs: DataFrame) -> DataFrame:
+    """(part, block): the seeds of some documents by parts of all hashes, each part's columns one after the other in bytes.
+
+    Columns: seed, document, the words beside it as two bitmaps, its place in words, and how often the document has it.
+    """
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 words = Words(part.column("text"))
                 runs, at = seed_places(words)
+                if not len(at):
+                    continue
                 row, own = np.searchsorted(words.bounds, at, side="right") - 1, runs[at]
                 order = np.lexsort((own, row))
-                same = np.append(True, (own[order][1:] != own[order][:-1]) | (row[order][1:] != row[order][:-1]))[: len(at)]
+                same = np.append(True, (own[order][1:] != own[order][:-1]) | (row[order][1:] != row[order][:-1]))
                 times = np.empty(len(at), np.int32)
-                times[order] = np.bincount(np.cumsum(same) - 1)[np.cumsum(same) - 1] if len(at) else 0
+                times[order] = np.bincount(np.cumsum(same) - 1)[np.cumsum(same) - 1]
                 bit = np.append(np.uint64(1) << (words.hashes & np.uint64(31)), np.uint64(0))
                 left, right = np.zeros((2, len(at)), np.uint64)
                 for j in range(BESIDE):
                     left |= np.where(at - j > words.bounds[row], bit[at - j - 1], np.uint64(0))
                     right |= np.where(at + K + j < words.bounds[row + 1], bit[np.minimum(at + K + j, len(bit) - 1)], np.uint64(0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(signed(own)), pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(times), pa.array(signed(left << np.uint64(32) | right))], ["doc_id", "seed", "at", "times", "beside"])
+                place = (own >> np.uint64(32)) % np.uint64(PARTS)  # sampling takes the whole hash modulo SHARE, which divides no power of two
+                order = np.argsort(place.astype(np.int16), kind="stable")
+                ends = np.cumsum(np.bincount(place.astype(np.int64), minlength=PARTS))
+                columns = [own, part.column("doc_id").to_numpy()[row], left << np.uint64(32) | right, (at - words.bounds[row]).astype(np.int32), times]
+                columns = [c[order] for c in columns]
+                found = [(p, b"".join(c[lo:hi].tobytes() for c in columns)) for p, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if lo < hi]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int32(), pa.binary()), strict=True)], ["part", "block"])
 
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, seed long, at int, times int, beside long")
+    return docs.mapInArrow(run, "part int, block binary")
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """(doc_id, seed, at, times, beside, first): each seed that several documents have, in each of them, by its place in words; see ``_seed_blocks``.
+
+    Most seeds stand in one document. They are shuffled once, in blocks, and not stored.
+    """
+
+    def shared(blocks: list[bytes]):
+        sizes = [len(b) // ROW_BYTES for b in blocks]
+        column = lambda kind, at: np.concatenate([np.frombuffer(b, kind, n, at * n) for b, n in zip(blocks, sizes, strict=True)])
+        seed, doc, beside, at, times = column(np.int64, 0), column(np.int64, 8), column(np.int64, 16), column(np.int32, 24), column(np.int32, 28)
+        order = np.argsort(seed, kind="stable")
+        start = np.flatnonzero(np.append(True, seed[order][1:] != seed[order][:-1]))
+        first, last = np.minimum.reduceat(doc[order], start), np.maximum.reduceat(doc[order], start)
+        counts = np.diff(start, append=len(order))
+        rows, first = order[np.repeat(first < last, counts)], np.repeat(first, counts)[np.repeat(first < last, counts)]
+        for lo in range(0, len(rows), ROWS):
+            own = rows[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[own], seed[own], at[own], times[own], beside[own], first[lo : lo + ROWS])], ["doc_id", "seed", "at", "times", "beside", "first"])
+
+    def run(batches):
+        part, held = None, []
+        for batch in batches:
+            for p, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if p != part:
+                    if held:
+                        yield from shared(held)
+                    part, held = p, []
+                held.append(block)
+        if held:
+            yield from shared(held)
+
+    blocks = _seed_blocks(docs).repartition("part").sortWithinPartitions("part")
+    return blocks.mapInArrow(run, "doc_id long, seed long, at int, times int, beside long, first long")
 
 
 def chain(a: np.ndarray, b: np.ndarray, k: int = K, gap: float = GAP) -> list[np.ndarray]:
@@ -374,12 +422,15 @@ def _anchors(shared: DataFrame) -> DataFrame:
 def _aligned(docs: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, partner_id, identity): the passages of the chains of shared seeds, on both sides, stored."""
     chains = stored(_chains(_anchors(shared)))
+    tidy(docs.sparkSession)
     wanted = chains.select(F.col("doc").alias("doc_id")).union(chains.select("other")).distinct()
     words = stored(_word_lists(docs.join(wanted, "doc_id", "left_semi")))
+    tidy(docs.sparkSession)
     margin, found, used = MARGIN, None, [chains, words]
     while True:
         out = stored(_passages(chains, words, margin))
         used.append(out)
+        tidy(docs.sparkSession)
         part = out.filter("a is null").select("doc_id", "start_word", "end_word", "partner_id", "identity")
         found = part if found is None else found.unionByName(part)
         chains = out.filter("a is not null").selectExpr("doc_id as doc", "partner_id as other", "a", "b")
@@ -522,7 +573,8 @@ def find(docs: DataFrame) -> DataFrame:
     another with the same partner, the longest counts.
     """
     docs = _one_text(docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null"))
-    shared = _shared(seeds(docs))
+    shared = stored(seeds(docs))
+    tidy(docs.sparkSession)
     found = _aligned(docs, _places(shared))
     rest = stored(_rest(shared, found))
     seen = stored(rest.select("seed").distinct())

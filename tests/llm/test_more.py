@@ -10,6 +10,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quarry.llm import decontaminate, language_id, media, mixing, ngram_join, personal_data, repeats, secrets, tool_calls, url_reputation
@@ -326,6 +327,33 @@ def test_repeats_do_not_depend_on_the_order_of_rows(spark):
         assert repeats._places(spark.createDataFrame(order, "doc_id long, seed long, at int, times int, beside long, first long")).first().places == [5, 40, 300]
 
 
+def test_seeds_of_one_document_are_not_stored(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(400)] for _ in range(6)]
+    texts = [t[:200] + passage + t[200:] if i in (1, 4) else t for i, t in enumerate(texts)]
+    rows, put = [], repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df: (out := put(df), rows.append((out.columns, out.count())))[0])
+    got = {(r.doc_id, r.start_word, r.end_word, r.partner_id) for r in repeats.find(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == {(1, 200, 280, 4), (4, 200, 280, 1)}
+    assert all(n <= 2 * (80 - repeats.K + 1) for columns, n in rows if "seed" in columns)
+
+
+def test_shared_seeds_are_those_of_brute_force(spark):
+    """Through parts and blocks, with documents in several partitions."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60))) for _ in range(60)]
+    want: dict[int, dict[int, list[int]]] = {}
+    for doc, text in enumerate(texts):
+        words = repeats.Words(pa.array([text]))
+        runs, at = repeats.seed_places(words)
+        for p, s in zip(at.tolist(), repeats.signed(runs)[at].tolist(), strict=True):
+            want.setdefault(s, {}).setdefault(doc, []).append(p)
+    want_rows = sorted((d, s, p, len(ps), min(docs)) for s, docs in want.items() if len(docs) > 1 for d, ps in docs.items() for p in ps)
+    got = repeats.seeds(docs_of(spark, texts).repartition(5)).select("doc_id", "seed", "at", "times", "first").collect()
+    assert want_rows and sorted(map(tuple, got)) == want_rows
+
+
 def test_repeats_of_odd_tables(spark):
     _, words = unlike(8)
     p = " ".join(words(60))
